@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relgate.functions import codes
 from relgate.functions.settings import CLONE_LINES, MAX_DUPLICATES
-from relgate.functions.text import lines_of
+from relgate.functions.text import digest, lines_of
 from relgate.operators.skew import HOT_MIN, join_key_stats
 
 
@@ -17,9 +17,8 @@ def exact_clones(df: DataFrame, id_col: str, text_col: str, hot_min: int = HOT_M
     Only digests are shuffled. Group sizes are counted with partial aggregation,
     and members of very large groups are joined back without a shuffle.
     """
-    digests = df.filter(F.col(text_col).isNotNull()).select(
-        id_col, F.unhex(F.sha2(F.col(text_col), 256)).alias("_digest")
-    )
+    whole = F.coalesce(F.unhex(F.sha2(F.col(text_col), 256)), F.lit(b""))
+    digests = df.filter(F.col(text_col).isNotNull()).select(id_col, whole.alias("_digest"))
     groups = (
         digests.groupBy("_digest")
         .agg(F.min(id_col).alias("group_id"), F.count("*").alias("n"))
@@ -37,12 +36,12 @@ def line_windows(df: DataFrame, id_col: str, text_col: str, k: int = CLONE_LINES
     """
     hashed = df.select(
         id_col,
-        F.transform(lines_of(F.col(text_col)), lambda line: F.unhex(F.md5(line))).alias("_lines"),
+        F.transform(lines_of(F.col(text_col)), digest).alias("_lines"),
     )
 
     def window_digest(i: Column) -> Column:
         parts = [F.get(F.col("_lines"), i + offset) for offset in range(k)]
-        return F.unhex(F.md5(F.concat(*parts)))
+        return digest(F.concat(*parts))
 
     starts = F.sequence(F.lit(0), F.size("_lines") - k)
     windows = F.when(F.size("_lines") >= k, F.transform(starts, window_digest))

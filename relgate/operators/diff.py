@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from relgate.functions import codes
-from relgate.functions.text import lines_of
+from relgate.functions.text import digest, lines_of
 from relgate.operators.skew import HOT_MIN, join_key_stats
 
 RECORD_FIELDS = ("title", "description", "bump_type")
@@ -38,8 +38,12 @@ def first_non_empty(
     """Rows of the first source that has any, overall or per value of ``group``."""
     if group is None:
         return changes.filter(F.col("priority") == changes.agg(F.min("priority")).scalar())
-    firsts = changes.groupBy(group).agg(
-        F.min("priority").alias("_first"), F.count("*").alias("_n")
+    # The count is always positive; the filter keeps it in both uses of the aggregate,
+    # so that its shuffle is made once and reused.
+    firsts = (
+        changes.groupBy(group)
+        .agg(F.min("priority").alias("_first"), F.count("*").alias("_n"))
+        .filter("_n > 0")
     )
     matched = join_key_stats(changes, firsts, group, "_n", hot_min, null_safe=True)
     return matched.filter("priority = _first").select(*changes.columns)
@@ -116,7 +120,7 @@ def line_diff(old: DataFrame, new: DataFrame, id_col: str, text_col: str) -> Dat
     def signed(df: DataFrame, sign: int) -> DataFrame:
         lines = df.select(id_col, F.explode(lines_of(F.col(text_col))).alias("_line"))
         return lines.select(
-            id_col, F.unhex(F.md5("_line")).alias("_digest"), F.lit(sign).alias("_sign")
+            id_col, digest(F.col("_line")).alias("_digest"), F.lit(sign).alias("_sign")
         )
 
     net = (
@@ -148,9 +152,9 @@ def json_type(value: Column) -> Column:
 def json_fields(df: DataFrame, json_col: str) -> DataFrame:
     """Top-level fields of every JSON object: ``(field, type)``; one parse per record."""
     parsed = df.select(F.try_parse_json(json_col).alias("_record"))
-    objects = parsed.filter(F.schema_of_variant("_record").startswith("OBJECT"))
     fields = df.sparkSession.tvf.variant_explode(F.col("_record").outer())
-    return objects.lateralJoin(fields).select(
+    # Scalars give no rows and array items no key, so only objects' fields are left.
+    return parsed.lateralJoin(fields).filter(F.col("key").isNotNull()).select(
         F.col("key").alias("field"), json_type(F.col("value")).alias("type")
     )
 

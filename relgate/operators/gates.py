@@ -137,15 +137,24 @@ def gate_result(
 
 
 def gate_summary(gates: Sequence[DataFrame]) -> DataFrame:
-    """All gates in their order; those after the first failure read ``skipped``."""
+    """All gates in their order; those after the first failure read ``skipped``.
+
+    Each frame is one row, so the rows are put in one array (as long as ``gates``) to
+    find the first failure without evaluating any gate twice.
+    """
     rows = gates[0]
     for gate in gates[1:]:
         rows = rows.unionByName(gate)
-    stop = rows.agg(F.min(F.when(F.col("failed"), F.col("ord")))).scalar()
+    together = rows.agg(
+        F.collect_list(F.struct(*rows.columns)).alias("_gates"),
+        F.min(F.when(F.col("failed"), F.col("ord"))).alias("_stop"),
+    )
     status = (
-        F.when(F.col("ord") > stop, "skipped")
+        F.when(F.col("ord") > F.col("_stop"), "skipped")
         .when(F.col("measured").isNull(), "unmeasured")
         .when(F.col("failed"), "failed")
         .otherwise("passed")
     )
-    return rows.withColumn("status", status)
+    return together.select("_stop", F.inline("_gates")).select(
+        *rows.columns, status.alias("status")
+    )
