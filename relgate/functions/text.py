@@ -14,15 +14,14 @@ def lines_of(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased, whitespace-separated, non-empty tokens, each once per text."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
+    """Lower-cased tokens between runs of whitespace; may hold empty ones at the ends."""
+    return F.split(F.lower(text), r"\s+")
 
 
 def token_count(text: Column, tokens: list[str]) -> Column:
     """Occurrences of whole whitespace-delimited tokens, case folded."""
     wanted = [t.lower() for t in tokens]
-    words = F.split(F.lower(text), r"\s+")
-    return F.size(F.filter(words, lambda word: word.isin(*wanted)))
+    return F.size(F.filter(words_of(text), lambda word: word.isin(*wanted)))
 
 
 def digest(value: Column) -> Column:

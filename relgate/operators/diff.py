@@ -64,22 +64,27 @@ def snapshot_diff(
     keys: Sequence[str],
     cols: Sequence[str] | None = None,
     carry: Sequence[str] = (),
+    by_digest: Sequence[str] = (),
 ) -> DataFrame:
     """Every key of either snapshot: ``(keys, carry, op, changed_cols)``.
 
     ``op`` is added, removed, modified or same. ``cols`` are compared null-safely
     (default: all shared non-key columns). ``carry`` columns are taken from the new
-    row, or the old one if removed. Keys must be unique in each snapshot
+    row, or the old one if removed. Long texts named in ``by_digest`` are shuffled and
+    compared as 16-byte digests. Keys must be unique in each snapshot
     (see ``duplicate_keys``), so one shuffle per side on the keys is all it takes.
     """
     if cols is None:
         cols = [c for c in new.columns if c in old.columns and c not in keys]
-    needed = list(dict.fromkeys([*cols, *carry]))
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(
             *keys,
-            *[F.col(c).alias(f"_{tag}_{c}") for c in needed],
+            *[
+                (digest(F.col(c)) if c in by_digest else F.col(c)).alias(f"_{tag}_{c}")
+                for c in cols
+            ],
+            *[F.col(c).alias(f"_{tag}_carry_{c}") for c in carry],
             F.lit(True).alias(f"_in_{tag}"),
         )
 
@@ -105,7 +110,8 @@ def snapshot_diff(
         .otherwise("same")
     )
     carried = [
-        F.when(in_new, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c) for c in carry
+        F.when(in_new, F.col(f"_new_carry_{c}")).otherwise(F.col(f"_old_carry_{c}")).alias(c)
+        for c in carry
     ]
     return joined.select(*keys, *carried, op.alias("op"), "changed_cols")
 

@@ -26,8 +26,9 @@ def unreferenced_keys(
 
 
 def terms(df: DataFrame, text_col: str) -> DataFrame:
-    """Distinct lower-cased tokens; repeats inside a text are dropped before the shuffle."""
-    return df.select(F.explode(words_of(F.col(text_col))).alias("term")).distinct()
+    """Distinct lower-cased tokens; repeats are dropped on the map side."""
+    tokens = df.select(F.explode(words_of(F.col(text_col))).alias("term"))
+    return tokens.filter("term <> ''").distinct()
 
 
 def unreferenced_terms(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from relgate.functions import codes
 from relgate.functions.semver import (
@@ -15,9 +17,10 @@ from relgate.functions.semver import (
     version_text,
 )
 from relgate.functions.settings import START_VERSION
-from relgate.operators.skew import HOT_MIN, heavy_hitters
+from relgate.operators.skew import heavy_hitters
 
-HOT_CHUNKS = 512
+CHUNK_ROWS = 5_000_000
+MAX_CHUNKS = 4096
 
 
 def parse_versions(df: DataFrame, col: str) -> DataFrame:
@@ -58,36 +61,29 @@ def version_ledger(
     order: str,
     bump: str,
     start: str = START_VERSION,
-    hot_min: int = HOT_MIN,
-    chunks: int = HOT_CHUNKS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Version of each entity after each event: adds ``version``.
 
     Rows whose bump is no bump type carry the version forward. ``order`` is a
     number or timestamp, unique per entity.
 
-    Running counts need an entity's rows in order. An entity with very many rows is
-    cut into ``chunks`` ranges of ``order``; each range is counted on its own, and
-    the counts of the ranges before it are added. Cut points are found by one job
-    before the plan is built, and only for the (at most 256) heaviest entities.
+    Running counts need an entity's rows in order. An entity of ``chunk_rows`` rows or
+    more is cut into ranges of ``order`` of about that size; each range is counted on
+    its own, and the counts of the ranges before it are added. Cut points are found by
+    one job before the plan is built, and only for the (at most 256) heaviest entities.
     """
-    cuts = _hot_cuts(events, entity, order, hot_min, chunks)
+    cuts = _heavy_cuts(events, entity, order, chunk_rows)
     if cuts is None:
         counted = _running(events, [entity], order, bump)
         return _with_version(counted, events.columns, start, carried=False)
 
-    ordinal = _ordinal(events, order)
     chunked = events.join(
         F.broadcast(cuts), F.col(entity).eqNullSafe(F.col("_cut_entity")), "left"
-    ).withColumn(
-        "_chunk",
-        F.when(F.col("_cuts").isNull(), 0).otherwise(
-            F.size(F.filter("_cuts", lambda cut: cut < ordinal))
-        ),
-    )
+    ).withColumn("_chunk", _chunk_of(F.col("_cuts"), _ordinal(events, order)))
     counted = _running(chunked, [entity, "_chunk"], order, bump)
-    hot_rows = counted.filter(F.col("_cuts").isNotNull())
-    carry = F.broadcast(_carried_in(hot_rows, entity))
+    heavy_rows = counted.filter(F.col("_cuts").isNotNull())
+    carry = F.broadcast(_carried_in(heavy_rows, entity))
     joined = counted.join(
         carry,
         F.col(entity).eqNullSafe(F.col("_carry_entity"))
@@ -106,29 +102,53 @@ def _ordinal(events: DataFrame, order: str) -> Column:
     return F.col(order).cast("bigint")
 
 
-def _hot_cuts(
-    events: DataFrame, entity: str, order: str, hot_min: int, chunks: int
+def _heavy_cuts(
+    events: DataFrame, entity: str, order: str, chunk_rows: int
 ) -> DataFrame | None:
     """Cut points ``(_cut_entity, _cuts)`` of the heavy entities; None if there are none.
 
-    The result is fetched (at most 256 rows of ``chunks`` numbers) and made a literal
-    frame, so every later stage, retried or not, cuts at the same points.
+    The result is fetched (at most 256 rows of at most ``MAX_CHUNKS`` numbers) and made
+    a literal frame, so every later stage, retried or not, cuts at the same points.
     """
     spark = events.sparkSession
     counts = events.groupBy(entity).agg(F.count("*").alias("_n"))
-    hot = heavy_hitters(counts, entity, "_n", hot_min).select(F.col(entity).alias("_cut_entity"))
-    hot_keys = hot.collect()
-    if not hot_keys:
+    heavy = heavy_hitters(counts, entity, "_n", chunk_rows).select(
+        F.col(entity).alias("_cut_entity"), "_n"
+    )
+    found = heavy.collect()
+    if not found:
         return None
-    keys = F.broadcast(spark.createDataFrame(hot_keys, hot.schema))
+    keys = F.broadcast(spark.createDataFrame(found, heavy.schema).drop("_n"))
+    chunks = min(MAX_CHUNKS, 1 + -(-found[0]["_n"] // chunk_rows))
     shares = [i / chunks for i in range(1, chunks)]
-    found = (
+    cuts = (
         events.join(keys, F.col(entity).eqNullSafe(F.col("_cut_entity")))
         .groupBy("_cut_entity")
         .agg(F.percentile_approx(_ordinal(events, order), shares, 10_000).alias("_cuts"))
-        .withColumn("_cuts", F.array_distinct("_cuts"))
     )
-    return spark.createDataFrame(found.collect(), found.schema)
+    side = math.isqrt(chunks - 1) + 1
+    blocks = []
+    for row in cuts.collect():
+        points = sorted(set(row["_cuts"]))
+        blocks.append((row[0], [points[i : i + side] for i in range(0, len(points), side)]))
+    schema = StructType([cuts.schema[0]]).add("_cuts", ArrayType(ArrayType(LongType())))
+    return spark.createDataFrame(blocks, schema)
+
+
+def _chunk_of(cuts: Column, ordinal: Column) -> Column:
+    """Number of cut points below ``ordinal``, 0 without cut points.
+
+    Cut points come in blocks of equal length, so only the block ends and one block
+    are looked at.
+    """
+    full_blocks = F.size(F.filter(cuts, lambda block: F.element_at(block, -1) < ordinal))
+    partial = F.size(F.filter(F.get(cuts, full_blocks), lambda cut: cut < ordinal))
+    before = full_blocks * F.size(F.get(cuts, F.lit(0)))
+    # After the last block there is no partial one, and all cut points are below.
+    inside = F.when(full_blocks < F.size(cuts), before + partial).otherwise(
+        F.size(F.flatten(cuts))
+    )
+    return F.when(cuts.isNull(), 0).otherwise(inside)
 
 
 def _running(df: DataFrame, keys: list[str], order: str, bump: str) -> DataFrame:
@@ -160,9 +180,9 @@ def _running(df: DataFrame, keys: list[str], order: str, bump: str) -> DataFrame
     )
 
 
-def _carried_in(hot_rows: DataFrame, entity: str) -> DataFrame:
+def _carried_in(heavy_rows: DataFrame, entity: str) -> DataFrame:
     """Counts of all earlier chunks, per chunk of a heavy entity."""
-    per_chunk = hot_rows.groupBy(entity, "_chunk").agg(
+    per_chunk = heavy_rows.groupBy(entity, "_chunk").agg(
         *[
             F.max(c).alias(c)
             for c in ("_majors", "_minors", "_patches", "_minor_reset", "_patch_reset")

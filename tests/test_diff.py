@@ -58,6 +58,20 @@ def test_snapshot_diff_applied_to_old_gives_new(spark):
             )
 
 
+def test_long_texts_can_be_compared_by_digest(spark):
+    old = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "x")], "k int, t string")
+    new = spark.createDataFrame([(1, "b"), (2, ""), (3, ""), (4, None)], "k int, t string")
+    plain = d.snapshot_diff(old, new, ["k"], carry=["t"])
+    digested = d.snapshot_diff(old, new, ["k"], carry=["t"], by_digest=["t"])
+    assert sorted(plain.collect()) == sorted(digested.collect())
+    assert {r.k: r.op for r in digested.collect()} == {
+        1: "modified",
+        2: "modified",
+        3: "same",
+        4: "modified",
+    }
+
+
 def test_duplicate_keys_are_found(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (1, 1), (None, 1)], "a int, b int")
     found = {(r.a, r.b): r.n_rows for r in d.duplicate_keys(df, ["a", "b"]).collect()}
