@@ -89,8 +89,7 @@ def duplication(
     counts = runs.agg(
         F.coalesce(F.sum("n_lines"), F.lit(0)).cast("bigint").alias("dup_lines")
     ).withColumn("total_lines", total.scalar())
-    ratio = F.try_divide(100.0 * F.col("dup_lines"), F.col("total_lines"))
-    return counts.withColumn("pct", F.round(ratio, 6))
+    return counts.withColumn("pct", F.try_divide(100.0 * F.col("dup_lines"), F.col("total_lines")))
 
 
 def duplication_gate(
@@ -101,9 +100,13 @@ def duplication_gate(
     k: int = CLONE_LINES,
     hot_min: int = HOT_MIN,
 ) -> DataFrame:
-    """``duplication`` with ``failed`` (strictly above the limit, or unmeasured) and ``code``."""
+    """``duplication`` with ``failed`` (strictly above the limit, or unmeasured) and ``code``.
+
+    The limit is held against the exact percent; ``pct`` is then rounded to 6 places.
+    """
     measured = duplication(df, id_col, text_col, k, hot_min)
     failed = F.coalesce(F.col("pct") > max_pct, F.lit(True))
-    return measured.withColumn("failed", failed).withColumn(
-        "code", F.when(failed, codes.QUALITY_ERROR).otherwise(codes.PASSED)
+    judged = measured.withColumn("failed", failed).withColumn("pct", F.round("pct", 6))
+    return judged.withColumn(
+        "code", F.when(F.col("failed"), codes.QUALITY_ERROR).otherwise(codes.PASSED)
     )

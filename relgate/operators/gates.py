@@ -59,7 +59,7 @@ def metric_average(
 ) -> DataFrame:
     """Sum, count, average (6 places) of a metric and the average's band."""
     totals = df.groupBy(*by).agg(
-        F.sum(metric).cast("bigint").alias("metric_sum"), F.count(metric).alias("n_blocks")
+        F.sum(metric).alias("metric_sum"), F.count(metric).alias("n_blocks")
     )
     ratio = F.try_divide(F.col("metric_sum").cast("double"), F.col("n_blocks"))
     return totals.withColumn("metric_avg", F.round(ratio, 6)).withColumn(

@@ -88,10 +88,8 @@ def verdict(
     ``checks`` are ``(fails, code, message)`` in order. Later checks of a row are
     not evaluated once one failed.
     """
-    outcome = F.when(F.lit(False), _outcome(codes.PASSED, F.lit(None)))
-    for fails, code, message in checks:
-        outcome = outcome.when(fails, _outcome(code, message))
-    outcome = outcome.otherwise(_outcome(codes.PASSED, F.lit(None)))
+    failures = [F.when(fails, _outcome(code, message)) for fails, code, message in checks]
+    outcome = F.coalesce(*failures, _outcome(codes.PASSED, F.lit(None)))
     return df.select(*keys, outcome.alias("_outcome")).select(
         *keys, F.col("_outcome.code"), F.col("_outcome.message")
     )

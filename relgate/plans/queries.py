@@ -502,7 +502,9 @@ def exclude_query(spark, sf_dir):
     return gates.exclude(documents, "source", ["src1*", "src?5"])
 
 
-def quality_gates(spark, sf_dir, max_complexity, max_duplicates, max_unused) -> list[Gate]:
+def quality_gates(
+    spark, sf_dir, max_complexity: float | str, max_duplicates: float | str, max_unused: float
+) -> list[Gate]:
     """Complexity, duplication, unused: the fixed order of the quality step."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     complexity = lines_per_order(spark, sf_dir).agg(F.max("n_lines").alias("measured"))
@@ -1196,8 +1198,8 @@ def new_rows_query(spark, sf_dir):
 # --- the whole run ---------------------------------------------------------------
 
 
-def order_release(spark, sf_dir, max_complexity, max_duplicates, max_unused) -> Release:
-    """The changed orders as candidate, documents as its described records."""
+def order_release(spark, sf_dir, settings: str, max_unused: float) -> Release:
+    """The changed orders as candidate, the documents as the records to be validated."""
     previous, candidate = order_snapshots(spark, sf_dir)
     scratch = scratch_path(spark, "release")
     return Release(
@@ -1209,8 +1211,9 @@ def order_release(spark, sf_dir, max_complexity, max_duplicates, max_unused) ->
         keys=["o_orderkey"],
         verdicts=text_verdicts(spark, sf_dir),
         verdict_key="doc_id",
-        gates=quality_gates(spark, sf_dir, max_complexity, max_duplicates, max_unused),
+        gates=quality_gates(spark, sf_dir, "max_complexity", "max_duplicates", max_unused),
         max_invalid_pct=25.0,
+        settings=settings,
     )
 
 
@@ -1236,7 +1239,7 @@ REPORT_SQL_HEAD = f"""
     """,
 )
 def release_report_query(spark, sf_dir):
-    return release(spark, order_release(spark, sf_dir, MAX_COMPLEXITY, MAX_DUPLICATES, 0))
+    return release(spark, order_release(spark, sf_dir, "{}", max_unused=0))
 
 
 @query(
@@ -1255,8 +1258,8 @@ def release_report_query(spark, sf_dir):
     """,
 )
 def release_published_query(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders", "o_orderkey").count()
-    return release(spark, order_release(spark, sf_dir, 50, 100.0, orders))
+    settings = '{"quality": {"max_complexity": 50, "max_duplicates": 100.0}}'
+    return release(spark, order_release(spark, sf_dir, settings, max_unused=float("inf")))
 
 
 @query(

@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relgate.functions import codes
 from relgate.functions.codes import GateError
-from relgate.functions.settings import START_VERSION
+from relgate.functions.settings import MAX_COMPLEXITY, MAX_DUPLICATES, START_VERSION
 from relgate.operators.diff import duplicate_keys, infer_bump, snapshot_diff
 from relgate.operators.gates import gate_result
+from relgate.operators.overlay import section_type_check, settings_lookup
 from relgate.operators.versions import bump_versions, latest_version
 from relgate.sources.publish import build, publish, published_versions
 
-STEPS = ("validation", "quality", "changes", "version", "publish")
 REPORT_SCHEMA = "step int, name string, pct int, status string, code int, message string"
 
+# Settings a gate can name as its limit: path, type and default.
+LIMITS = {
+    "max_complexity": ("$.quality.max_complexity", "double", MAX_COMPLEXITY),
+    "max_duplicates": ("$.quality.max_duplicates", "double", MAX_DUPLICATES),
+}
+
 
 @dataclass
 class Gate:
-    """A one-row frame, its measured column and the limit it may not exceed."""
+    """A one-row frame, its measured column and the limit it may not exceed.
+
+    The limit is a number or the name of a quality setting.
+    """
 
     name: str
     measure: DataFrame
     measured: str
-    limit: float
+    limit: float | str
 
 
 @dataclass
@@ -36,7 +45,7 @@ class Release:
 
     ``verdicts`` holds ``(code, message)`` per checked record and ``verdict_key``.
     The published versions under ``root/name`` give the current version, unless
-    ``current_version`` does.
+    ``current_version`` does. ``settings`` is a JSON text of overrides.
     """
 
     name: str
@@ -51,43 +60,43 @@ class Release:
     drift: DataFrame | None = None
     max_invalid_pct: float = 0.0
     current_version: str | None = None
-    found: dict = field(default_factory=dict)
+    settings: str = "{}"
 
 
 def release(spark: SparkSession, plan: Release) -> DataFrame:
     """Run the steps and report them: ``(step, name, pct, status, code, message)``.
 
-    Each step runs its own small actions and fetches one row of results. Nothing is
-    written before all gates have passed. Steps after a failure are not run.
+    Each step runs its own actions, fetches one row per result and hands its findings
+    on to the later ones. Nothing is written before all gates have passed. Steps after
+    a failure are not run; an error that has no code of its own gets code 100.
     """
-    steps: list[Callable[[SparkSession, Release], str]] = [
-        _validate,
-        _check_quality,
-        _analyse_changes,
-        _next_version,
-        _publish,
-    ]
-    report, failed_at = [], None
-    for number, (name, step) in enumerate(zip(STEPS, steps), start=1):
-        start = (number - 1) * 100 // len(STEPS)
-        if failed_at is not None:
-            report.append((number, name, failed_at, "skipped", None, None))
+    steps = {
+        "validation": _validate,
+        "quality": _check_quality,
+        "changes": _analyse_changes,
+        "version": _next_version,
+        "publish": _publish,
+    }
+    report, found, stopped = [], {}, False
+    reached = 0
+    for number, (name, step) in enumerate(steps.items(), start=1):
+        if stopped:
+            report.append((number, name, reached, "skipped", None, None))
             continue
         try:
-            message = step(spark, plan)
-            done = number * 100 // len(STEPS)
-            report.append((number, name, done, "passed", codes.PASSED, message))
+            message = step(spark, plan, found)
+            status, code, reached = "passed", codes.PASSED, 100 * number // len(steps)
         except GateError as error:
-            failed_at = start
-            report.append((number, name, start, "failed", error.code, error.message))
+            status, code, message = "failed", error.code, error.message
         except Exception as error:
-            failed_at = start
-            text = f"{type(error).__name__}: {error}"
-            report.append((number, name, start, "failed", codes.CODES["UNKNOWN_ERROR"], text))
+            status, code = "failed", codes.CODES["UNKNOWN_ERROR"]
+            message = f"{type(error).__name__}: {error}"
+        stopped = status == "failed"
+        report.append((number, name, reached, status, code, message))
     return spark.createDataFrame(report, REPORT_SCHEMA)
 
 
-def _validate(spark: SparkSession, plan: Release) -> str:
+def _validate(spark: SparkSession, plan: Release, found: dict) -> str:
     failed = F.col("code") != codes.PASSED
     seen = plan.verdicts.agg(
         F.count("*").alias("total"),
@@ -96,39 +105,52 @@ def _validate(spark: SparkSession, plan: Release) -> str:
     ).first()
     if 100.0 * seen.failed > plan.max_invalid_pct * seen.total:
         raise GateError(seen.first.code, seen.first.message)
-    repeated = duplicate_keys(plan.candidate, plan.keys)
-    if not repeated.isEmpty():
+    if not duplicate_keys(plan.candidate, plan.keys).isEmpty():
         raise GateError(codes.INVALID_RECORD, f"keys are not unique: {', '.join(plan.keys)}")
     return f"{seen.failed} of {seen.total} records failed"
 
 
-def _check_quality(spark: SparkSession, plan: Release) -> str:
+def quality_limits(spark: SparkSession, settings: str) -> dict[str, float]:
+    """The quality settings; a section of the wrong type is code 101."""
+    row = spark.createDataFrame([(settings,)], "settings string")
+    checked = section_type_check(row, "settings")
+    seen = settings_lookup(checked, "settings", LIMITS).first()
+    if seen.code != codes.PASSED:
+        raise GateError(seen.code, f"invalid settings: {seen.bad_section or 'not JSON'}")
+    return {name: seen[name] for name in LIMITS}
+
+
+def _check_quality(spark: SparkSession, plan: Release, found: dict) -> str:
+    limits = quality_limits(spark, plan.settings)
     for number, gate in enumerate(plan.gates, start=1):
-        seen = gate_result(gate.measure, number, gate.name, gate.measured, gate.limit).first()
+        limit = limits[gate.limit] if isinstance(gate.limit, str) else gate.limit
+        if limit is None:
+            raise GateError(codes.CONFIG_ERROR, f"{gate.limit} is no number")
+        seen = gate_result(gate.measure, number, gate.name, gate.measured, limit).first()
         if seen.measured is None:
             raise GateError(seen.code, f"{gate.name} is unmeasured")
         if seen.failed:
-            raise GateError(seen.code, f"{gate.name} {seen.measured:.2f} above {gate.limit:.2f}")
+            raise GateError(seen.code, f"{gate.name} {seen.measured:.2f} above {limit:.2f}")
     return f"{len(plan.gates)} gates passed"
 
 
-def _analyse_changes(spark: SparkSession, plan: Release) -> str:
+def _analyse_changes(spark: SparkSession, plan: Release, found: dict) -> str:
     diff = snapshot_diff(plan.previous, plan.candidate, plan.keys)
     seen = infer_bump(diff, plan.drift).first()
     if seen.code != codes.PASSED:
         raise GateError(seen.code, "no changes since the last release")
-    plan.found["bump_type"] = seen.bump_type
+    found["bump_type"] = seen.bump_type
     counts = f"{seen.added} added, {seen.removed} removed, {seen.modified} modified"
     return f"{seen.bump_type}: {counts}"
 
 
-def _next_version(spark: SparkSession, plan: Release) -> str:
+def _next_version(spark: SparkSession, plan: Release, found: dict) -> str:
     current = plan.current_version or _latest_published(spark, plan)
-    row = spark.createDataFrame([(current, plan.found["bump_type"])], "version string, bump string")
+    row = spark.createDataFrame([(current, found["bump_type"])], "version string, bump string")
     seen = bump_versions(row, "version", "bump").first()
     if seen.code != codes.PASSED:
         raise GateError(seen.code, f"cannot bump {current} by {seen.bump}")
-    plan.found["version"] = seen.next_version
+    found["version"] = seen.next_version
     return f"{current} -> {seen.next_version}"
 
 
@@ -141,12 +163,12 @@ def _latest_published(spark: SparkSession, plan: Release) -> str:
     return latest.version or START_VERSION
 
 
-def _publish(spark: SparkSession, plan: Release) -> str:
+def _publish(spark: SparkSession, plan: Release, found: dict) -> str:
     counted = Observation()
     observed = plan.candidate.observe(counted, F.count(F.lit(1)).alias("n_rows"))
     try:
         built = build(observed, plan.staging)
     except Exception as error:
         raise GateError(codes.BUILD_FAILED, f"build failed: {error}") from error
-    publish(built, plan.root, plan.name, plan.found["version"])
-    return f"{counted.get['n_rows']} rows as {plan.found['version']}"
+    publish(built, plan.root, plan.name, found["version"])
+    return f"{counted.get['n_rows']} rows as {found['version']}"

@@ -100,6 +100,24 @@ def test_a_release_builds_on_the_published_one(spark, tmp_path):
     assert sorted(p.published_versions(spark, f"{root}/published", "d")) == ["0.2.0", "0.2.1"]
 
 
+def test_gate_limits_come_from_the_settings(spark, tmp_path):
+    old, new = frame(spark, 3), frame(spark, 4)
+
+    def quality(settings, measured):
+        gates = [Gate("dup", spark.createDataFrame([(measured,)], "m double"), "m", "max_duplicates")]
+        made = plan(spark, str(tmp_path), new, old, settings=settings, current_version="x")
+        made.gates = gates
+        row = release(spark, made).filter("name = 'quality'").first()
+        return row.code, row.message
+
+    assert quality("{}", 1.0) == (0, "1 gates passed")
+    assert quality("{}", 1.01) == (102, "dup 1.01 above 1.00")
+    assert quality('{"quality": {"max_duplicates": 20}}', 19.5) == (0, "1 gates passed")
+    assert quality('{"quality": {"max_duplicates": null}}', 0.0)[0] == 101
+    assert quality('{"quality": 3}', 0.0) == (101, "invalid settings: quality")
+    assert quality("{", 0.0) == (101, "invalid settings: not JSON")
+
+
 def test_a_release_ends_at_its_first_failure(spark, tmp_path):
     root = str(tmp_path)
     old, new = frame(spark, 3), frame(spark, 4)
