@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ASCII digits only, and no trailing newline: hence \z, not $.
-VERSION_PATTERN = r"\A([0-9]+)\.([0-9]+)\.([0-9]+)\z"
+VERSION_PATTERN = r"\A[0-9]+\.[0-9]+\.[0-9]+\z"
 
 BUMP_TYPES = ("major", "minor", "patch")
 
 
-def version_part(version: Column, group: int) -> Column:
-    """One number of a version, NULL when the text is no version."""
-    return F.regexp_extract(version, VERSION_PATTERN, group).try_cast("bigint")
+def version_part(version: Column, position: int) -> Column:
+    """One number of a version (1 to 3), NULL when the text is no version.
+
+    All parts share the pattern test, so it is evaluated once per row.
+    """
+    part = F.split_part(version, F.lit("."), F.lit(position))
+    return F.when(version.rlike(VERSION_PATTERN), part).try_cast("bigint")
 
 
 def version_struct(version: Column) -> Column:

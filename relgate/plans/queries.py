@@ -740,8 +740,8 @@ def first_non_empty_query(spark, sf_dir):
 
 
 def order_snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Two releases of the orders: some keys gone, some new, some with a new status."""
-    orders = table(
+    """The orders, and a copy with every tenth under a new key and every tenth changed."""
+    old = table(
         spark,
         sf_dir,
         "orders",
@@ -751,17 +751,22 @@ def order_snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         "o_totalprice",
         "o_orderpriority",
     )
-    key = F.col("o_orderkey") % 10
-    status = F.when(key == 2, "X").otherwise(F.col("o_orderstatus"))
-    return orders.filter(key != 0), orders.filter(key != 1).withColumn("o_orderstatus", status)
+    key = F.col("o_orderkey")
+    turn = key % 10
+    new = old.withColumns(
+        {
+            "o_orderkey": F.when(turn == 0, -1 - key).otherwise(key),
+            "o_orderstatus": F.when(turn == 2, "X").otherwise(F.col("o_orderstatus")),
+        }
+    )
+    return old, new
 
 
 ORDER_DIFF_SQL = """
     SELECT o_orderkey, o_orderpriority,
-           CASE o_orderkey % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'modified'
-             ELSE 'same' END AS op,
-           CASE o_orderkey % 10 WHEN 2 THEN 'o_orderstatus' ELSE '' END AS changed_cols
+           CASE o_orderkey % 10 WHEN 0 THEN 'removed' WHEN 2 THEN 'modified' ELSE 'same' END AS op
     FROM orders
+    UNION ALL SELECT -1 - o_orderkey, o_orderpriority, 'added' FROM orders WHERE o_orderkey % 10 = 0
 """
 
 
@@ -773,11 +778,11 @@ def order_diff(spark, sf_dir, *carry: str) -> DataFrame:
 @query(
     "d3_snapshot_diff",
     """
-    WITH old AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0),
-    new AS (SELECT o_orderkey, o_custkey,
-                   CASE WHEN o_orderkey % 10 = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-                   o_totalprice, o_orderpriority
-            FROM orders WHERE o_orderkey % 10 <> 1),
+    WITH new AS (
+      SELECT CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey,
+             o_custkey, CASE WHEN o_orderkey % 10 = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+             o_totalprice, o_orderpriority
+      FROM orders),
     joined AS (
       SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,
              o.o_orderkey IS NOT NULL AS in_old, n.o_orderkey IS NOT NULL AS in_new,
@@ -786,7 +791,7 @@ def order_diff(spark, sf_dir, *carry: str) -> DataFrame:
                CASE WHEN o.o_totalprice IS DISTINCT FROM n.o_totalprice THEN 'o_totalprice' END,
                CASE WHEN o.o_orderpriority IS DISTINCT FROM n.o_orderpriority THEN 'o_orderpriority' END)
                AS cols
-      FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey)
+      FROM orders o FULL JOIN new n ON o.o_orderkey = n.o_orderkey)
     SELECT o_orderkey,
            CASE WHEN NOT in_old THEN 'added' WHEN NOT in_new THEN 'removed'
                 WHEN cols <> '' THEN 'modified' ELSE 'same' END AS op,

@@ -3,7 +3,9 @@
 from collections import Counter
 
 from compare import DATA
+from pyspark.sql import functions as F
 
+from relgate.operators import diff
 from relgate.plans import queries as q
 
 SF_DIR = f"{DATA}/sf0.01"
@@ -54,8 +56,15 @@ def test_settings_counts(spark):
 
 
 def test_change_counts(spark):
-    ops = counts(q.snapshot_diff_query(spark, SF_DIR), "op")
+    orders = q.table(spark, SF_DIR, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    turn = F.col("o_orderkey") % 10
+    status = F.when(turn == 2, "X").otherwise(F.col("o_orderstatus"))
+    old = orders.filter(turn != 0)
+    new = orders.filter(turn != 1).withColumn("o_orderstatus", status)
+    ops = counts(diff.snapshot_diff(old, new, ["o_orderkey"]), "op")
     assert ops == {"added": 1500, "removed": 1500, "modified": 1500, "same": 10500}
+    ops = counts(q.snapshot_diff_query(spark, SF_DIR), "op")
+    assert ops == {"added": 1500, "removed": 1500, "modified": 1500, "same": 12000}
     drift = q.field_drift_query(spark, SF_DIR).select("field", "old_type", "new_type", "new_n", "op")
     assert sorted(map(tuple, drift.collect()), key=repr) == [
         ("k", "int", "int", 9000, "same"),

@@ -34,9 +34,17 @@ def test_bumps(spark):
     assert found[3:] == [(None, 109)] * 4
 
 
-@pytest.mark.parametrize("order_type", ["bigint", "timestamp_ntz"])
-@pytest.mark.parametrize("start", ["0.1.0", "0.0.0", "3.2.1"])
-@pytest.mark.parametrize("chunk_rows", [100_000, 150, 40, 1])
+@pytest.mark.parametrize(
+    "start, chunk_rows, order_type",
+    [
+        ("0.1.0", 100_000, "bigint"),
+        ("0.1.0", 150, "bigint"),
+        ("0.0.0", 40, "bigint"),
+        ("3.2.1", 40, "timestamp_ntz"),
+        ("3.2.1", 1, "bigint"),
+        ("0.1.0", 100_000, "timestamp_ntz"),
+    ],
+)
 def test_ledger_equals_a_fold(spark, start, chunk_rows, order_type):
     rng = random.Random(11)
     kinds = ["major", "minor", "patch", "patch", "patch", None, "other"]
