@@ -28,24 +28,43 @@ def exact_clones(df: DataFrame, id_col: str, text_col: str, hot_min: int = HOT_M
     return members.select("group_id", id_col, "n")
 
 
-def line_windows(df: DataFrame, id_col: str, text_col: str, k: int = CLONE_LINES) -> DataFrame:
-    """Digest of every run of ``k`` consecutive lines: ``(id, start, digest)``.
+def _line_digests(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    lines = F.transform(lines_of(F.col(text_col)), digest)
+    return df.filter(F.col(text_col).isNotNull()).select(*keep, lines.alias("_lines"))
+
+
+def _window_digests(k: int) -> Column:
+    """Digests of all runs of ``k`` lines of ``_lines``, NULL if it has fewer lines.
 
     Each line is digested once and a window digests its ``k`` line digests, so long
     lines are not read ``k`` times. Nothing is grouped: a text stays in its row.
     """
-    hashed = df.select(
-        id_col,
-        F.transform(lines_of(F.col(text_col)), digest).alias("_lines"),
-    )
 
     def window_digest(i: Column) -> Column:
         parts = [F.get(F.col("_lines"), i + offset) for offset in range(k)]
         return digest(F.concat(*parts))
 
     starts = F.sequence(F.lit(0), F.size("_lines") - k)
-    windows = F.when(F.size("_lines") >= k, F.transform(starts, window_digest))
-    return hashed.select(id_col, F.posexplode(windows).alias("start", "digest"))
+    return F.when(F.size("_lines") >= k, F.transform(starts, window_digest))
+
+
+def line_windows(df: DataFrame, id_col: str, text_col: str, k: int = CLONE_LINES) -> DataFrame:
+    """Digest of every run of ``k`` consecutive lines: ``(id, start, digest)``."""
+    lines = _line_digests(df, text_col, id_col)
+    return lines.select(id_col, F.posexplode(_window_digests(k)).alias("start", "digest"))
+
+
+def window_counts(df: DataFrame, text_col: str, k: int = CLONE_LINES) -> DataFrame:
+    """Occurrences of each window digest: ``(digest, n)``.
+
+    A text of ``m`` lines has ``m - k + 1`` windows. The lines that start none, at most
+    ``k - 1``, are counted under the empty digest, so ``n`` sums to the number of lines
+    and no second pass is needed to count them.
+    """
+    rest = F.array_repeat(F.lit(b""), F.least(F.size("_lines"), F.lit(k - 1)))
+    entries = F.concat(F.coalesce(_window_digests(k), F.array().cast("array<binary>")), rest)
+    exploded = _line_digests(df, text_col).select(F.explode(entries).alias("digest"))
+    return exploded.groupBy("digest").agg(F.count("*").alias("n"))
 
 
 def clone_runs(
@@ -57,8 +76,11 @@ def clone_runs(
     repeated window of the same text begins. The window is per text, so a task
     never holds more than the lines of one record at a time.
     """
+    # One condition on both columns stays above the aggregate; a filter on the digest
+    # alone would move below it, and the counts could not be shared with the total.
+    occurrences = F.when(F.col("digest") == F.lit(b""), 0).otherwise(F.col("n"))
+    repeated = window_counts(df, text_col, k).filter(occurrences > 1)
     windows = line_windows(df, id_col, text_col, k)
-    repeated = windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     hits = join_key_stats(windows, repeated, "digest", "n", hot_min)
     following = F.lead("start").over(Window.partitionBy(id_col).orderBy("start"))
     return hits.select(
@@ -82,9 +104,10 @@ def duplication(
 ) -> DataFrame:
     """One row ``(dup_lines, total_lines, pct)``; pct is NULL when there are no lines.
 
-    Covered lines are summed from run lengths, so they are never materialised.
+    Covered lines are summed from run lengths, so they are never materialised. The
+    total comes from the same window counts the runs are found with.
     """
-    total = df.agg(F.sum(F.size(lines_of(F.col(text_col)))).cast("bigint"))
+    total = window_counts(df, text_col, k).agg(F.sum("n"))
     runs = clone_runs(df, id_col, text_col, k, hot_min)
     counts = runs.agg(
         F.coalesce(F.sum("n_lines"), F.lit(0)).cast("bigint").alias("dup_lines")

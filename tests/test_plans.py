@@ -67,3 +67,11 @@ def test_heavy_branch_vanishes_without_heavy_keys(spark):
     assert "Union" not in final_plan(100_000)
     assert "ReusedExchange" in final_plan(100_000)
     assert "Union" in final_plan(2)
+
+
+def test_total_lines_come_from_the_window_counts(spark):
+    documents = read_dataset(spark, SF_DIR, "documents.parquet")
+    found = clones.duplication(documents, "doc_id", "text")
+    found.collect()
+    subquery = plan_of(found).split("Subquery")[1].split("Initial Plan")[0]
+    assert "ReusedExchange" in subquery and "FileScan" not in subquery
