@@ -33,19 +33,20 @@ def union_changes(sources: Sequence[tuple]) -> DataFrame:
 
 
 def first_non_empty(
-    changes: DataFrame, group: str | None = None, hot_min: int = HOT_MIN
+    changes: DataFrame, group: Sequence[str] = (), hot_min: int = HOT_MIN
 ) -> DataFrame:
-    """Rows of the first source that has any, overall or per value of ``group``."""
-    if group is None:
+    """Rows of the first source that has any, overall or per group; NULL is a group too."""
+    if not group:
         return changes.filter(F.col("priority") == changes.agg(F.min("priority")).scalar())
+    keyed = changes.withColumn("_group", F.struct(*group))
     # The count is always positive; the filter keeps it in both uses of the aggregate,
     # so that its shuffle is made once and reused.
     firsts = (
-        changes.groupBy(group)
+        keyed.groupBy("_group")
         .agg(F.min("priority").alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 0")
     )
-    matched = join_key_stats(changes, firsts, group, "_n", hot_min, null_safe=True)
+    matched = join_key_stats(keyed, firsts, "_group", "_n", hot_min)
     return matched.filter("priority = _first").select(*changes.columns)
 
 

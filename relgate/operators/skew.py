@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_MIN = 100_000
@@ -31,27 +31,24 @@ def join_key_stats(
     weight: str,
     hot_min: int = HOT_MIN,
     max_hot: int = MAX_HOT,
-    null_safe: bool = False,
 ) -> DataFrame:
     """Inner join of ``rows`` to ``stats`` (one row per ``key``, ``weight`` = its rows).
 
     Rows of a heavy key get their stats from a broadcast list where they were read
     and are not shuffled at all; all other rows meet their stats by a shuffle join.
     With no heavy key the list is empty, and adaptive execution drops its half of
-    the plan. NULL keys match NULL only if ``null_safe``.
+    the plan. Rows with a NULL key match nothing; put the key in a struct to have
+    NULLs match.
     """
-
-    def same(other: str) -> Column:
-        return F.col(key).eqNullSafe(F.col(other)) if null_safe else F.col(key) == F.col(other)
-
     names = [c for c in stats.columns if c != key]
     entries = F.struct(*names).alias("_stats")
     hot = heavy_hitters(stats, key, weight, hot_min, max_hot).select(
         F.col(key).alias("_hot_key"), entries
     )
-    tagged = rows.join(F.broadcast(hot), same("_hot_key"), "left")
+    tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     cold = stats.select(F.col(key).alias("_cold_key"), entries)
     on_hot = tagged.filter(F.col("_stats").isNotNull())
-    on_cold = tagged.filter(F.col("_stats").isNull()).drop("_stats").join(cold, same("_cold_key"))
+    rest = tagged.filter(F.col("_stats").isNull()).drop("_stats")
+    on_cold = rest.join(cold, F.col(key) == F.col("_cold_key"))
     output = [*rows.columns, *[F.col(f"_stats.{c}").alias(c) for c in names]]
     return on_hot.select(*output).union(on_cold.select(*output))

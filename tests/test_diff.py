@@ -31,8 +31,10 @@ def test_first_non_empty_per_group(spark, hot_min):
     for k, p in rows:
         first[k] = min(p, first.get(k, p))
     expected = Counter((k, p) for k, p in rows if p == first[k])
-    found = d.first_non_empty(df, "k", hot_min).collect()
+    found = d.first_non_empty(df, ["k"], hot_min).collect()
     assert Counter(map(tuple, found)) == expected
+    both = d.first_non_empty(df.withColumn("one", F.lit(1)), ["one", "k"], hot_min)
+    assert Counter(map(tuple, both.drop("one").collect())) == expected
 
 
 def test_snapshot_diff_applied_to_old_gives_new(spark):
