@@ -170,5 +170,5 @@ def _publish(spark: SparkSession, plan: Release, found: dict) -> str:
         built = build(observed, plan.staging)
     except Exception as error:
         raise GateError(codes.BUILD_FAILED, f"build failed: {error}") from error
-    publish(built, plan.root, plan.name, found["version"])
+    publish(built, plan.root, plan.name, found["version"], replace_unfinished=True)
     return f"{counted.get['n_rows']} rows as {found['version']}"

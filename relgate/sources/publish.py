@@ -44,23 +44,32 @@ def published_versions(spark: SparkSession, root: str, name: str) -> list[str]:
 
 
 def publish(
-    df: DataFrame, root: str, name: str, version: str, skip_existing: bool = False
+    df: DataFrame,
+    root: str,
+    name: str,
+    version: str,
+    skip_existing: bool = False,
+    replace_unfinished: bool = False,
 ) -> DataFrame:
     """Write a new version under ``root/name`` and return it, re-read.
 
-    An existing version is never changed: it is code 106, or left as it is with
-    ``skip_existing``. The existence test and the write are two steps, so two
+    A published version is never changed: it is code 106, or left as it is with
+    ``skip_existing``. A folder whose write never finished is in the way too, unless
+    ``replace_unfinished``. The existence test and the write are two steps, so two
     writers of one version must be kept apart by the caller.
     """
-    path = version_path(root, name, version)
-    mode = "ignore" if skip_existing else "errorifexists"
+    spark = df.sparkSession
+    if replace_unfinished and version not in published_versions(spark, root, name):
+        mode = "overwrite"
+    else:
+        mode = "ignore" if skip_existing else "errorifexists"
     try:
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).parquet(version_path(root, name, version))
     except AnalysisException as error:
         if error.getCondition() != "PATH_ALREADY_EXISTS":
             raise
         raise GateError(codes.PUBLISH_ERROR, f"{name} {version} is already published") from error
-    return read_dataset(df.sparkSession, root, name, version)
+    return read_dataset(spark, root, name, version)
 
 
 def new_rows(df: DataFrame, published: DataFrame, keys: Sequence[str]) -> DataFrame:

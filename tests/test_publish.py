@@ -35,6 +35,19 @@ def test_a_published_version_is_immutable(spark, tmp_path):
     assert read_dataset(spark, root, "d").count() == 12
 
 
+def test_an_unfinished_version_can_be_replaced(spark, tmp_path):
+    root = str(tmp_path)
+    left = tmp_path / "d" / "version=1.0.0"
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_bytes(b"cut short")
+    assert p.published_versions(spark, root, "d") == []
+    with pytest.raises(GateError):
+        p.publish(frame(spark, 5), root, "d", "1.0.0")
+    assert p.publish(frame(spark, 5), root, "d", "1.0.0", replace_unfinished=True).count() == 5
+    with pytest.raises(GateError):
+        p.publish(frame(spark, 7), root, "d", "1.0.0", replace_unfinished=True)
+
+
 def test_new_rows(spark):
     found = p.new_rows(frame(spark, 6), frame(spark, 4, "b"), ["k"])
     assert sorted(r.k for r in found.collect()) == [4, 5]
