@@ -82,8 +82,8 @@ def version_ledger(
         F.broadcast(cuts), F.col(entity).eqNullSafe(F.col("_cut_entity")), "left"
     ).withColumn("_chunk", _chunk_of(F.col("_cuts"), _ordinal(events, order)))
     counted = _running(chunked, [entity, "_chunk"], order, bump)
-    heavy_rows = counted.filter(F.col("_cuts").isNotNull())
-    carry = F.broadcast(_carried_in(heavy_rows, entity))
+    heavy_rows = chunked.filter(F.col("_cuts").isNotNull())
+    carry = F.broadcast(_carried_in(_chunk_totals(heavy_rows, entity, order, bump), entity))
     joined = counted.join(
         carry,
         F.col(entity).eqNullSafe(F.col("_carry_entity"))
@@ -151,6 +151,10 @@ def _chunk_of(cuts: Column, ordinal: Column) -> Column:
     return F.when(cuts.isNull(), 0).otherwise(inside)
 
 
+def _bump_tests(bump: str) -> list[Column]:
+    return [F.coalesce(F.col(bump) == b, F.lit(False)) for b in BUMP_TYPES]
+
+
 def _running(df: DataFrame, keys: list[str], order: str, bump: str) -> DataFrame:
     """Running counts per key: all bumps so far, and minors/patches at the last reset.
 
@@ -161,9 +165,7 @@ def _running(df: DataFrame, keys: list[str], order: str, bump: str) -> DataFrame
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    is_major, is_minor, is_patch = (
-        F.coalesce(F.col(bump) == b, F.lit(False)) for b in BUMP_TYPES
-    )
+    is_major, is_minor, is_patch = _bump_tests(bump)
     totals = df.withColumns(
         {
             "_majors": F.sum(is_major.cast("bigint")).over(upto),
@@ -180,14 +182,37 @@ def _running(df: DataFrame, keys: list[str], order: str, bump: str) -> DataFrame
     )
 
 
-def _carried_in(heavy_rows: DataFrame, entity: str) -> DataFrame:
-    """Counts of all earlier chunks, per chunk of a heavy entity."""
-    per_chunk = heavy_rows.groupBy(entity, "_chunk").agg(
-        *[
-            F.max(c).alias(c)
-            for c in ("_majors", "_minors", "_patches", "_minor_reset", "_patch_reset")
-        ]
+def _chunk_totals(heavy_rows: DataFrame, entity: str, order: str, bump: str) -> DataFrame:
+    """What ``_running`` ends with in each chunk of the heavy entities.
+
+    Two aggregations, partly done on the map side, so the rows are neither shuffled nor
+    sorted for it: the first finds the last resets, the second counts up to them.
+    """
+    is_major, is_minor, is_patch = _bump_tests(bump)
+    at = F.col(order)
+    chunk = [F.col(entity).alias("_reset_entity"), F.col("_chunk").alias("_reset_chunk")]
+    resets = heavy_rows.groupBy(*chunk).agg(
+        F.max(F.when(is_major, at)).alias("_last_major"),
+        F.max(F.when(is_major | is_minor, at)).alias("_last_reset"),
     )
+    known = heavy_rows.join(
+        F.broadcast(resets),
+        F.col(entity).eqNullSafe(F.col("_reset_entity"))
+        & (F.col("_chunk") == F.col("_reset_chunk")),
+    )
+    minors_before = F.count_if(is_minor & (at < F.col("_last_major")))
+    patches_before = F.count_if(is_patch & (at < F.col("_last_reset")))
+    return known.groupBy(entity, "_chunk").agg(
+        F.count_if(is_major).alias("_majors"),
+        F.count_if(is_minor).alias("_minors"),
+        F.count_if(is_patch).alias("_patches"),
+        F.when(F.max("_last_major").isNotNull(), minors_before).alias("_minor_reset"),
+        F.when(F.max("_last_reset").isNotNull(), patches_before).alias("_patch_reset"),
+    )
+
+
+def _carried_in(per_chunk: DataFrame, entity: str) -> DataFrame:
+    """Counts of all earlier chunks, per chunk of a heavy entity."""
     before = (
         Window.partitionBy(entity).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
