@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_MIN = 100_000
-MAX_HOT = 256
+MAX_HOT = 4096
 
 
 def heavy_hitters(

@@ -20,7 +20,12 @@ from relgate.functions.settings import START_VERSION
 from relgate.operators.skew import heavy_hitters
 
 CHUNK_ROWS = 5_000_000
-MAX_CHUNKS = 4096
+
+# The heaviest entities may be cut into more ranges than the others. With at most 4096
+# heavy entities that is about 1.1 million cut points, some 9 MB.
+TOP_ENTITIES = 16
+TOP_CHUNKS = 4096
+OTHER_CHUNKS = 256
 
 
 def parse_versions(df: DataFrame, col: str) -> DataFrame:
@@ -71,7 +76,7 @@ def version_ledger(
     Running counts need an entity's rows in order. An entity of ``chunk_rows`` rows or
     more is cut into ranges of ``order`` of about that size; each range is counted on
     its own, and the counts of the ranges before it are added. Cut points are found by
-    one job before the plan is built, and only for the (at most 256) heaviest entities.
+    jobs run before the plan is built, and only for the (at most 4096) heaviest entities.
     """
     cuts = _heavy_cuts(events, entity, order, chunk_rows)
     if cuts is None:
@@ -107,8 +112,8 @@ def _heavy_cuts(
 ) -> DataFrame | None:
     """Cut points ``(_cut_entity, _cuts)`` of the heavy entities; None if there are none.
 
-    The result is fetched (at most 256 rows of at most ``MAX_CHUNKS`` numbers) and made
-    a literal frame, so every later stage, retried or not, cuts at the same points.
+    The result is fetched (its size is bounded, see above) and made a literal frame, so
+    every later stage, retried or not, cuts at the same points.
     """
     spark = events.sparkSession
     counts = events.groupBy(entity).agg(F.count("*").alias("_n"))
@@ -118,20 +123,29 @@ def _heavy_cuts(
     found = heavy.collect()
     if not found:
         return None
-    keys = F.broadcast(spark.createDataFrame(found, heavy.schema).drop("_n"))
-    chunks = min(MAX_CHUNKS, 1 + -(-found[0]["_n"] // chunk_rows))
-    shares = [i / chunks for i in range(1, chunks)]
-    cuts = (
-        events.join(keys, F.col(entity).eqNullSafe(F.col("_cut_entity")))
-        .groupBy("_cut_entity")
-        .agg(F.percentile_approx(_ordinal(events, order), shares, 10_000).alias("_cuts"))
-    )
-    side = math.isqrt(chunks - 1) + 1
+    ordinal = _ordinal(events, order)
     blocks = []
-    for row in cuts.collect():
-        points = sorted(set(row["_cuts"]))
-        blocks.append((row[0], [points[i : i + side] for i in range(0, len(points), side)]))
-    schema = StructType([cuts.schema[0]]).add("_cuts", ArrayType(ArrayType(LongType())))
+    for entities, most in (
+        (found[:TOP_ENTITIES], TOP_CHUNKS),
+        (found[TOP_ENTITIES:], OTHER_CHUNKS),
+    ):
+        if not entities:
+            continue
+        chunks = min(most, 1 + math.ceil(entities[0]["_n"] / chunk_rows))
+        shares = [i / chunks for i in range(1, chunks)]
+        keys = F.broadcast(spark.createDataFrame(entities, heavy.schema).drop("_n"))
+        cuts = (
+            events.join(keys, F.col(entity).eqNullSafe(F.col("_cut_entity")))
+            .groupBy("_cut_entity")
+            .agg(F.percentile_approx(ordinal, shares, 5 * chunks).alias("_cuts"))
+        )
+        side = math.isqrt(chunks - 1) + 1
+        for key, points in cuts.collect():
+            points = sorted(set(points))
+            blocks.append((key, [points[i : i + side] for i in range(0, len(points), side)]))
+    schema = StructType([heavy.schema["_cut_entity"]]).add(
+        "_cuts", ArrayType(ArrayType(LongType()))
+    )
     return spark.createDataFrame(blocks, schema)
 
 

@@ -47,11 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     "a1_scan_dataset",
     """
     SELECT lang, count(*)::BIGINT AS n_docs, sum(n_chars)::BIGINT AS n_chars
-    FROM documents WHERE n_chars >= 50 GROUP BY lang
+    FROM documents GROUP BY lang
     """,
 )
 def scan_dataset(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents", "lang", "n_chars").filter("n_chars >= 50")
+    documents = table(spark, sf_dir, "documents", "lang", "n_chars")
     return documents.groupBy("lang").agg(
         F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars")
     )

@@ -43,9 +43,13 @@ def test_bumps(spark):
         ("3.2.1", 40, "timestamp_ntz"),
         ("3.2.1", 1, "bigint"),
         ("0.1.0", 100_000, "timestamp_ntz"),
+        ("2.0.1", 3, "bigint"),
     ],
 )
-def test_ledger_equals_a_fold(spark, start, chunk_rows, order_type):
+def test_ledger_equals_a_fold(spark, monkeypatch, start, chunk_rows, order_type):
+    # So small that both classes of heavy entities occur.
+    monkeypatch.setattr(s, "TOP_ENTITIES", 2)
+    monkeypatch.setattr(s, "OTHER_CHUNKS", 5)
     rng = random.Random(11)
     kinds = ["major", "minor", "patch", "patch", "patch", None, "other"]
     rows = []
