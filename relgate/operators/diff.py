@@ -282,7 +282,8 @@ def change_summary(diff: DataFrame, by: str) -> DataFrame:
     Changes are first counted per operation and column, so the text of a group is
     put together from a handful of counts.
     """
-    tags = F.array_append(F.transform("changed_cols", lambda c: F.concat(F.lit("."), c)), F.col("op"))
+    columns = F.transform("changed_cols", lambda c: F.concat(F.lit("."), c))
+    tags = F.array_append(columns, F.col("op"))
     counts = (
         diff.filter("op <> 'same'")
         .select(by, F.explode(tags).alias("_tag"))
@@ -295,7 +296,7 @@ def change_summary(diff: DataFrame, by: str) -> DataFrame:
 
     column_note = F.when(
         F.col("_tag").startswith("."),
-        F.concat(F.substr("_tag", F.lit(2)), F.lit(" ("), F.col("_n").cast("string"), F.lit(")")),
+        F.format_string("%s (%d)", F.substr("_tag", F.lit(2)), F.col("_n")),
     )
     per_group = counts.withColumn("_note", column_note).groupBy(by).agg(
         total("added").alias("_added"),

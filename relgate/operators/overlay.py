@@ -12,7 +12,9 @@ from relgate.functions import codes
 from relgate.functions.settings import DEFAULT_SETTINGS, SECTIONS
 
 
-def default_rows(entities: DataFrame, defaults: Mapping[str, Mapping[str, Any]] = DEFAULT_SETTINGS):
+def default_rows(
+    entities: DataFrame, defaults: Mapping[str, Mapping[str, Any]] = DEFAULT_SETTINGS
+) -> DataFrame:
     """Every default setting for every entity: adds ``section, key, value``.
 
     The defaults are a literal array exploded in each row, so there is no join.
@@ -80,8 +82,9 @@ def section_type_check(
         parsed.withColumn("bad_section", F.coalesce(*[bad(s) for s in sections]))
         .withColumn(
             "code",
-            F.when(F.col("_settings").isNull() | F.col("bad_section").isNotNull(), codes.CONFIG_ERROR)
-            .otherwise(codes.PASSED),
+            F.when(
+                F.col("_settings").isNull() | F.col("bad_section").isNotNull(), codes.CONFIG_ERROR
+            ).otherwise(codes.PASSED),
         )
         .drop("_settings")
     )

@@ -55,8 +55,11 @@ def bump_versions(df: DataFrame, col: str, bump_col: str) -> DataFrame:
 
 def latest_version(df: DataFrame, entity: Sequence[str], version: str) -> DataFrame:
     """Highest version per entity, in numeric order; text that is no version is ignored."""
-    order = version_struct(F.col(version))
-    known = df.filter(version_part(F.col(version), 1).isNotNull())
+    text = F.col(version)
+    order = version_struct(text)
+    known = df
+    for position in (1, 2, 3):
+        known = known.filter(version_part(text, position).isNotNull())
     return known.groupBy(*entity).agg(F.max_by(version, order).alias(version))
 
 
@@ -99,12 +102,20 @@ def version_ledger(
 
 
 def _ordinal(events: DataFrame, order: str) -> Column:
+    """The order as a whole number that never falls where the order rises."""
     dtype = dict(events.dtypes)[order]
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(F.col(order).cast("timestamp"))
+    at = F.col(order)
+    if dtype == "timestamp":
+        return F.unix_micros(at)
+    days = F.unix_date(at.cast("date")).cast("bigint")
     if dtype == "date":
-        return F.unix_date(order).cast("bigint")
-    return F.col(order).cast("bigint")
+        return days
+    if dtype == "timestamp_ntz":
+        # A cast to timestamp would follow the session's clock changes.
+        minutes = (days * 24 + F.hour(at)) * 60 + F.minute(at)
+        seconds = F.extract(F.lit("SECOND"), at)
+        return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+    return at.cast("bigint")
 
 
 def _heavy_cuts(

@@ -101,7 +101,9 @@ def _validate(spark: SparkSession, plan: Release, found: dict) -> str:
     seen = plan.verdicts.agg(
         F.count("*").alias("total"),
         F.count_if(failed).alias("failed"),
-        F.min_by(F.struct("code", "message"), F.when(failed, F.col(plan.verdict_key))).alias("first"),
+        F.min_by(
+            F.struct("code", "message"), F.when(failed, F.col(plan.verdict_key))
+        ).alias("first"),
     ).first()
     if 100.0 * seen.failed > plan.max_invalid_pct * seen.total:
         raise GateError(seen.first.code, seen.first.message)

@@ -12,7 +12,8 @@ SF_DIR = f"{DATA}/sf0.01"
 
 
 def counts(df, *columns):
-    return Counter(tuple(row) if len(columns) > 1 else row[0] for row in df.select(*columns).collect())
+    rows = df.select(*columns).collect()
+    return Counter(tuple(row) if len(columns) > 1 else row[0] for row in rows)
 
 
 def test_validation_counts(spark):
@@ -65,7 +66,8 @@ def test_change_counts(spark):
     assert ops == {"added": 1500, "removed": 1500, "modified": 1500, "same": 10500}
     ops = counts(q.snapshot_diff_query(spark, SF_DIR), "op")
     assert ops == {"added": 1500, "removed": 1500, "modified": 1500, "same": 12000}
-    drift = q.field_drift_query(spark, SF_DIR).select("field", "old_type", "new_type", "new_n", "op")
+    drift = q.field_drift_query(spark, SF_DIR)
+    drift = drift.select("field", "old_type", "new_type", "new_n", "op")
     assert sorted(map(tuple, drift.collect()), key=repr) == [
         ("k", "int", "int", 9000, "same"),
         ("k", None, "string", 1000, "retyped"),

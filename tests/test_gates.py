@@ -78,7 +78,10 @@ def test_scrape_takes_the_first_matching_line(spark):
     df = spark.createDataFrame([(1, out), (2, bad), (3, "nothing")], "id int, t string")
     lines = to_lines(df, "id", "t")
     found = g.scrape_metric(lines, "id", ["%", "clones found"], r"([^%\s(]+)\s*%")
-    assert sorted(map(tuple, found.collect())) == [(1, 1, 12.5, "measured"), (2, 0, None, "unmeasured")]
+    assert sorted(map(tuple, found.collect())) == [
+        (1, 1, 12.5, "measured"),
+        (2, 0, None, "unmeasured"),
+    ]
 
 
 def test_exclude_follows_glob_rules(spark):
@@ -94,8 +97,8 @@ def test_exclude_follows_glob_rules(spark):
 
 def test_average_of_groups(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 12)], "k string, m int")
-    found = {r.k: (r.metric_sum, r.n_blocks, r.metric_avg, r.band) for r in g.metric_average(df, "m", ["k"]).collect()}
-    assert found == {"a": (5, 3, 1.666667, "A"), "b": (12, 1, 12.0, "C")}
+    found = g.metric_average(df, "m", ["k"]).collect()
+    assert sorted(map(tuple, found)) == [("a", 5, 3, 1.666667, "A"), ("b", 12, 1, 12.0, "C")]
 
 
 def test_unreferenced_keys_with_several_reference_frames(spark):

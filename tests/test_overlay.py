@@ -15,7 +15,8 @@ def test_override_wins_even_with_null_and_new_keys_stay(spark):
         ("p", "quality", "extra", "1"),
         ("r", "ai", "model", "m"),
     ]
-    overrides = spark.createDataFrame(rows, "entity string, section string, key string, value string")
+    schema = "entity string, section string, key string, value string"
+    overrides = spark.createDataFrame(rows, schema)
     merged = c.overlay(defaults, overrides, ["entity", "section", "key"])
     found = {(r.entity, r.section, r.key): (r.value, r.origin) for r in merged.collect()}
     expected = {
@@ -66,5 +67,5 @@ def test_lookup_defaults_only_for_absent_paths(spark):
         "complexity": ("$.quality.max_complexity", "int", 15),
         "duplicates": ("$.quality.max_duplicates", "double", 1.0),
     }
-    found = {r.json: (r.complexity, r.duplicates) for r in c.settings_lookup(df, "json", wanted).collect()}
-    assert found == cases
+    found = c.settings_lookup(df, "json", wanted).collect()
+    assert {r.json: (r.complexity, r.duplicates) for r in found} == cases

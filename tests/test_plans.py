@@ -33,7 +33,8 @@ def test_no_cross_join_no_single_task_window_no_row_python(spark, name):
 
 def test_scans_are_pruned_and_filters_pushed(spark):
     lineitem = read_dataset(spark, SF_DIR, "lineitem.parquet")
-    plan = plan_of(gates.band_filter(lineitem.select("l_orderkey", "l_quantity"), "l_quantity", "D"))
+    quantities = lineitem.select("l_orderkey", "l_quantity")
+    plan = plan_of(gates.band_filter(quantities, "l_quantity", "D"))
     assert "GreaterThanOrEqual(l_quantity,21.0)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     documents = read_dataset(spark, SF_DIR, "documents.parquet")

@@ -66,7 +66,8 @@ def test_malformed_and_absent_records_differ(spark):
 
 
 def test_verdict_stops_at_the_first_failing_check(spark):
-    df = spark.createDataFrame([(1, "short"), (2, "y" * 60), (3, "## A" + "y" * 60)], "id int, t string")
+    rows = [(1, "short"), (2, "y" * 60), (3, "## A" + "y" * 60)]
+    df = spark.createDataFrame(rows, "id int, t string")
     verdicts = v.verdict(df, ["id"], v.text_checks("t", 50, ["A"], "## "))
     assert sorted(map(tuple, verdicts.collect())) == [
         (1, 114, "text is shorter than 50 characters"),
@@ -77,7 +78,8 @@ def test_verdict_stops_at_the_first_failing_check(spark):
 
 def test_missing_entities_with_one_hot_key(spark):
     expected = spark.range(100).withColumnRenamed("id", "k")
-    actual = spark.range(30_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id") % 90).alias("k"))
+    key = F.when(F.col("id") < 20_000, 7).otherwise(F.col("id") % 90)
+    actual = spark.range(30_000).select(key.alias("k"))
     found = v.missing_entities(expected, actual, ["k"])
     assert sorted(r.k for r in found.collect()) == list(range(90, 100))
     assert {r.code for r in found.collect()} == {codes.MISSING_RECORD}
