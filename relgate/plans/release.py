@@ -114,7 +114,7 @@ def _validate(spark: SparkSession, plan: Release, found: dict) -> str:
 
 def quality_limits(spark: SparkSession, settings: str) -> dict[str, float]:
     """The quality settings; a section of the wrong type is code 101."""
-    row = spark.createDataFrame([(settings,)], "settings string")
+    row = spark.range(1).select(F.lit(settings).alias("settings"))
     checked = section_type_check(row, "settings")
     seen = settings_lookup(checked, "settings", LIMITS).first()
     if seen.code != codes.PASSED:
@@ -148,10 +148,11 @@ def _analyse_changes(spark: SparkSession, plan: Release, found: dict) -> str:
 
 def _next_version(spark: SparkSession, plan: Release, found: dict) -> str:
     current = plan.current_version or _latest_published(spark, plan)
-    row = spark.createDataFrame([(current, found["bump_type"])], "version string, bump string")
+    bump = found["bump_type"]
+    row = spark.range(1).select(F.lit(current).alias("version"), F.lit(bump).alias("bump"))
     seen = bump_versions(row, "version", "bump").first()
     if seen.code != codes.PASSED:
-        raise GateError(seen.code, f"cannot bump {current} by {seen.bump}")
+        raise GateError(seen.code, f"cannot bump {current} by {bump}")
     found["version"] = seen.next_version
     return f"{current} -> {seen.next_version}"
 
