@@ -999,19 +999,26 @@ def change_summary_query(spark, sf_dir):
     )
 
 
-def rule_scorer(titles: pd.Series) -> pd.Series:
-    """A stand-in scorer: the rule of ``classify_title``, answered as change records."""
-    parts = titles.str.extract(r"\A(?P<type>[a-z]+)(?:\([^)]*\))?(?P<mark>!)?: ")
-    breaking = parts["mark"].notna() | titles.str.contains("BREAKING CHANGE", regex=False)
-    bump = parts["type"].map(lambda kind: "minor" if kind == "feat" else "patch")
-    bump = bump.mask(breaking, "major").where(parts["type"].notna(), None)
-    return pd.Series(
-        [
-            json.dumps({"title": title, "description": "scored", "bump_type": kind})
-            for title, kind in zip(titles, bump)
-        ],
-        index=titles.index,
-    )
+def rule_scorer() -> Callable[[pd.Series], pd.Series]:
+    """A stand-in scorer: the rule of ``classify_title``, answered as change records.
+
+    Made here so that it is sent to the tasks by value: they need not have this package.
+    """
+
+    def score(titles: pd.Series) -> pd.Series:
+        parts = titles.str.extract(r"\A(?P<type>[a-z]+)(?:\([^)]*\))?(?P<mark>!)?: ")
+        breaking = parts["mark"].notna() | titles.str.contains("BREAKING CHANGE", regex=False)
+        bump = parts["type"].map(lambda kind: "minor" if kind == "feat" else "patch")
+        bump = bump.mask(breaking, "major").where(parts["type"].notna(), None)
+        return pd.Series(
+            [
+                json.dumps({"title": title, "description": "scored", "bump_type": kind})
+                for title, kind in zip(titles, bump)
+            ],
+            index=titles.index,
+        )
+
+    return score
 
 
 @query(
@@ -1030,7 +1037,7 @@ def rule_scorer(titles: pd.Series) -> pd.Series:
     """,
 )
 def score_changes_query(spark, sf_dir):
-    return diff.score_changes(change_titles(spark, sf_dir), ["event_id"], "title", rule_scorer)
+    return diff.score_changes(change_titles(spark, sf_dir), ["event_id"], "title", rule_scorer())
 
 
 # --- versions --------------------------------------------------------------------
