@@ -70,13 +70,15 @@ def snapshot_diff(
     """Every key of either snapshot: ``(keys, carry, op, changed_cols)``.
 
     ``op`` is added, removed, modified or same. ``cols`` are compared null-safely
-    (default: all shared non-key columns). ``carry`` columns are taken from the new
+    (default: all non-key columns both have with one type; see ``schema_drift`` for
+    the others). ``carry`` columns are taken from the new
     row, or the old one if removed. Long texts named in ``by_digest`` are shuffled and
     compared as 16-byte digests. Keys must be unique in each snapshot
     (see ``duplicate_keys``), so one shuffle per side on the keys is all it takes.
     """
     if cols is None:
-        cols = [c for c in new.columns if c in old.columns and c not in keys]
+        before = dict(old.dtypes)
+        cols = [c for c, dtype in new.dtypes if c not in keys and before.get(c) == dtype]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(
@@ -204,6 +206,26 @@ def field_drift(old: DataFrame, new: DataFrame, json_col: str) -> DataFrame:
     )
 
 
+def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Columns added, removed or retyped: ``(field, old_type, new_type, op)``.
+
+    Compares the two schemas only; no data is read.
+    """
+    before, after = dict(old.dtypes), dict(new.dtypes)
+    changed = [f for f in {**before, **after} if before.get(f) != after.get(f)]
+    rows = [
+        (
+            field,
+            before.get(field),
+            after.get(field),
+            "added" if field not in before else "removed" if field not in after else "retyped",
+        )
+        for field in changed
+    ]
+    schema = "field string, old_type string, new_type string, op string"
+    return new.sparkSession.createDataFrame(rows, schema)
+
+
 def parse_change_record(df: DataFrame, json_col: str) -> DataFrame:
     """Add ``title, description, bump_type, code``; all three must be JSON strings.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relgate.functions import codes
 from relgate.functions.codes import GateError
 from relgate.functions.settings import MAX_COMPLEXITY, MAX_DUPLICATES, START_VERSION
-from relgate.operators.diff import duplicate_keys, infer_bump, snapshot_diff
+from relgate.operators.diff import duplicate_keys, infer_bump, schema_drift, snapshot_diff
 from relgate.operators.gates import gate_result
 from relgate.operators.overlay import section_type_check, settings_lookup
 from relgate.operators.versions import bump_versions, latest_version
@@ -45,7 +45,8 @@ class Release:
 
     ``verdicts`` holds ``(code, message)`` per checked record and ``verdict_key``.
     The published versions under ``root/name`` give the current version, unless
-    ``current_version`` does. ``settings`` is a JSON text of overrides.
+    ``current_version`` does. ``settings`` is a JSON text of overrides. ``drift`` adds
+    field changes inside records to the column changes found by comparing schemas.
     """
 
     name: str
@@ -137,8 +138,11 @@ def _check_quality(spark: SparkSession, plan: Release, found: dict) -> str:
 
 
 def _analyse_changes(spark: SparkSession, plan: Release, found: dict) -> str:
+    drift = schema_drift(plan.previous, plan.candidate).select("op")
+    if plan.drift is not None:
+        drift = drift.unionByName(plan.drift.select("op"))
     diff = snapshot_diff(plan.previous, plan.candidate, plan.keys)
-    seen = infer_bump(diff, plan.drift).first()
+    seen = infer_bump(diff, drift).first()
     if seen.code != codes.PASSED:
         raise GateError(seen.code, "no changes since the last release")
     found["bump_type"] = seen.bump_type

@@ -116,6 +116,19 @@ def test_field_drift_operations(spark):
     }
 
 
+def test_schema_drift(spark):
+    old = spark.createDataFrame([(1, "1", 1)], "k int, a string, b int")
+    new = spark.createDataFrame([(1, 1, 2.0)], "k int, a int, c double")
+    assert sorted(map(tuple, d.schema_drift(old, new).collect())) == [
+        ("a", "string", "int", "retyped"),
+        ("b", "int", None, "removed"),
+        ("c", None, "double", "added"),
+    ]
+    assert d.schema_drift(old, old).isEmpty()
+    # A retyped column is left to the schema comparison.
+    assert d.snapshot_diff(old, new, ["k"]).first().op == "same"
+
+
 def test_change_records_need_three_strings(spark):
     full = {"title": "feat: x", "description": "d", "bump_type": "minor"}
     cases = [

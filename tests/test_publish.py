@@ -102,6 +102,10 @@ def test_a_release_builds_on_the_published_one(spark, tmp_path):
     previous = read_dataset(spark, f"{root}/published", "d", "0.2.0")
     second = release(spark, plan(spark, root, frame(spark, 3, "b"), previous))
     assert second.filter("name = 'version'").first().message == "0.2.0 -> 0.2.1"
+    # A new column alone is a change, too.
+    wider = frame(spark, 3).selectExpr("*", "1 AS extra")
+    grown = release(spark, plan(spark, root, wider, frame(spark, 3), current_version="0.9.9"))
+    assert grown.filter("name = 'version'").first().message == "0.9.9 -> 0.10.0"
     # Nothing changed since: the run ends at the change step, and nothing is written.
     latest = read_dataset(spark, f"{root}/published", "d", "0.2.1")
     third = release(spark, plan(spark, root, frame(spark, 3, "b"), latest))
@@ -110,7 +114,8 @@ def test_a_release_builds_on_the_published_one(spark, tmp_path):
         ("version", 40, "skipped", None),
         ("publish", 40, "skipped", None),
     ]
-    assert sorted(p.published_versions(spark, f"{root}/published", "d")) == ["0.2.0", "0.2.1"]
+    versions = sorted(p.published_versions(spark, f"{root}/published", "d"))
+    assert versions == ["0.10.0", "0.2.0", "0.2.1"]
 
 
 def test_gate_limits_come_from_the_settings(spark, tmp_path):
