@@ -11,6 +11,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ QUADRATIC = 1 / 6144
 #: Tokens planned together; bounds a task's memory, whatever the size of its partition.
 BLOCK_TOKENS = 4 << 20
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 
 PIECES = (
     "key {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -32,6 +33,16 @@ PIECES = (
 )
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes bytes as letters: printable ones as they are, the others in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class _Ids(dict):
     """Ids of a blank-separated piece of text as little-endian bytes; a bounded cache.
 
@@ -42,13 +53,26 @@ class _Ids(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model  # each use of the property makes a new object
+
+    def encode(self, word: str) -> list[int]:
+        # A word of Latin letters needs no splitting and goes to the merges at once, which is
+        # four times as fast; everything else takes the tokenizer's own way.
+        if word.isalpha() and max(word) < "\u0250" and (low := normalize("NFC", word).lower()).isalpha():
+            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return self.whole.encode(word, add_special_tokens=False).ids
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
+        # Letters are lower-cased and part from what follows them, so forms share their stem.
+        if word[-1:] in (".", ",") and normalize("NFC", word[:-1]).lower().isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and word.isalpha() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            ids = np.array(self.encode(word), "<u4").tobytes()
+        # Frequent words come early, so a full cache keeps what it has.
+        if len(self) < CACHED_WORDS and len(word) <= 64:
             self[word] = ids
         return ids
 
