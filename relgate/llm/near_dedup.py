@@ -6,6 +6,8 @@ region with too many classes is taken at a greater depth. In each region the nei
 sorted order, which share the longest prefixes, and the region's first class are the
 candidates. Candidates are confirmed on full shingle sets. Then every pair of classes of
 one region that are not yet connected is compared too, so no pair of a region is left out.
+In groups of more classes than a region holds, a class that is similar to a few others only
+is compared at greater depths alone, and can be missed.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from relgate.llm.common import written
 from relgate.llm.components import components
 
 SIGNATURE = 128
-TREES = 16
+TREES = 10
 #: Values of a tree's order that a region shares: the first depth, and the deeper ones for
 #: regions that would hold more than ``REGION`` classes.
-DEPTHS = (4, 7, 12, 24)
-REGION = 64
+DEPTHS = (3, 6, 12, 24)
+REGION = 128
 #: A pair whose signatures agree in fewer places than this share has a similarity of 0.8 or
 #: more with a probability below 1e-5 (128 places, 4.4 standard deviations).
 SIGNATURE_FLOOR = 0.64
@@ -246,11 +248,12 @@ def near_duplicates(
     ).select("digest", "id", "sig")
     regions = _regions(classes)
     order = Window.partitionBy("region").orderBy("rest", "id")
+    # A region's first class alone is compared with the head of the region above it.
     near = regions.select(
-        "region", "id", "first", "above", F.lag("id").over(order).alias("before"), F.lag("id", 2).over(order).alias("second")
+        "id", "first", F.lag("id").over(order).alias("before"), F.when(F.col("id") == F.col("first"), F.col("above")).alias("head")
     )
     candidates = (
-        near.select("id", F.explode(F.array_distinct(F.array("before", "second", "first", "above"))).alias("other"))
+        near.select("id", F.explode(F.array_distinct(F.array("before", "first", "head"))).alias("other"))
         .filter("other <> id")
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         .distinct()

@@ -30,8 +30,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 class Settings:
     """``positives`` and ``unlabelled`` bound the sample of rows that the model is fitted on."""
 
-    positives: int = 4000
-    unlabelled: int = 6000
+    positives: int = 2000
+    unlabelled: int = 4000
     least_documents: int = 3
     least_excess: float = 4.0
     vocabulary: int = 20_000
@@ -166,8 +166,9 @@ def fit(
 
     bagged = rows.select("positive", "text").mapInArrow(bags, "positive boolean, words array<string>")
     sides: dict[bool, list[set[str]]] = {True: [], False: []}
+    same: dict[str, str] = {}  # one object per distinct word
     for row in bagged.toLocalIterator():
-        sides[row.positive].append(set(row.words))
+        sides[row.positive].append({same.setdefault(w, w) for w in row.words})
     if not sides[True]:
         return Model()
     return fit_weights(sides[True], sides[False], prior, settings)
