@@ -64,7 +64,9 @@ def window_counts(df: DataFrame, text_col: str, k: int = CLONE_LINES) -> DataFra
     rest = F.array_repeat(F.lit(b""), F.least(F.size("_lines"), F.lit(k - 1)))
     entries = F.concat(F.coalesce(_window_digests(k), F.array().cast("array<binary>")), rest)
     exploded = _line_digests(df, text_col).select(F.explode(entries).alias("digest"))
-    return exploded.groupBy("digest").agg(F.count("*").alias("n"))
+    # The join on the digest asks for this filter; made here, both its uses share one shuffle.
+    counted = exploded.filter(F.col("digest").isNotNull())
+    return counted.groupBy("digest").agg(F.count("*").alias("n"))
 
 
 def clone_runs(

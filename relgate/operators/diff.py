@@ -80,11 +80,16 @@ def snapshot_diff(
         before = dict(old.dtypes)
         cols = [c for c, dtype in new.dtypes if c not in keys and before.get(c) == dtype]
 
+    def comparable(df: DataFrame, c: str) -> Column:
+        # Maps cannot be compared, but their entries in order can.
+        is_map = dict(df.dtypes)[c].startswith("map<")
+        return F.array_sort(F.map_entries(c)) if is_map else F.col(c)
+
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(
             *keys,
             *[
-                (digest(F.col(c)) if c in by_digest else F.col(c)).alias(f"_{tag}_{c}")
+                (digest(F.col(c)) if c in by_digest else comparable(df, c)).alias(f"_{tag}_{c}")
                 for c in cols
             ],
             *[F.col(c).alias(f"_{tag}_carry_{c}") for c in carry],

@@ -22,9 +22,13 @@ def flatten_report(df: DataFrame, map_col: str, metric: str = "complexity") -> D
 
 
 def band_of(metric: Column, bands: Mapping[str, int] = BANDS) -> Column:
-    """The highest band whose lower bound the metric reaches."""
-    ranked = sorted(bands.items(), key=lambda item: item[1], reverse=True)
-    return F.coalesce(*[F.when(metric >= low, F.lit(name)) for name, low in ranked])
+    """The band of a metric: up to one below the next band's lower bound it is in the lower.
+
+    So 5 is A, 5.5 is B, and whatever lies below all bands is in the lowest.
+    """
+    (lowest, _), *higher = sorted(bands.items(), key=lambda item: item[1])
+    found = [F.when(metric > low - 1, F.lit(name)) for name, low in reversed(higher)]
+    return F.coalesce(*found, F.when(metric.isNotNull(), F.lit(lowest)))
 
 
 def band_filter(
@@ -35,7 +39,8 @@ def band_filter(
     The filter is on the metric itself, so it can move below the band expression
     and into the scan.
     """
-    kept = df.filter(F.col(metric) >= bands[min_band])
+    lowest = bands[min_band] == min(bands.values())
+    kept = df.filter(F.col(metric).isNotNull() if lowest else F.col(metric) > bands[min_band] - 1)
     return kept.withColumn("band", band_of(F.col(metric), bands))
 
 
@@ -81,18 +86,20 @@ def scrape_metric(
 ) -> DataFrame:
     """First matching report line per id and its number: ``(id, line_no, value, status)``.
 
-    A line matches if it holds every string of ``must_contain``, case folded. Ids
-    with no matching line are left out; a line whose number cannot be read is
-    ``unmeasured``.
+    A line matches if it holds every string of ``must_contain``, case folded. An id
+    with no matching line, or whose line's number cannot be read, is ``unmeasured``.
     """
     line = F.col("line")
     folded = F.lower(line)
-    matching = lines
+    matching = F.lit(True)
     for needle in must_contain:
-        matching = matching.filter(folded.contains(needle.lower()))
-    first = matching.groupBy(id_col).agg(
-        F.min_by(F.regexp_extract(line, pattern, group), "line_no").alias("_text"),
-        F.min("line_no").alias("line_no"),
+        matching = matching & folded.contains(needle.lower())
+    at = F.when(matching, F.col("line_no"))
+    first = (
+        lines.withColumn("_at", at)
+        .groupBy(id_col)
+        .agg(F.min_by("line", "_at").alias("_line"), F.min("_at").alias("line_no"))
+        .withColumn("_text", F.regexp_extract("_line", pattern, group))
     )
     value = F.col("_text").try_cast("double")
     return first.select(

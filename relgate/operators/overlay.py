@@ -54,7 +54,8 @@ def overlay(
 def overlay_maps(defaults: Column, overrides: Column) -> Column:
     """The same rule for two map columns; an explicit NULL value still wins."""
     over = F.coalesce(overrides, F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(over, k))
+    base = F.coalesce(defaults, F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k))
     return F.map_concat(kept, over)
 
 
@@ -70,7 +71,8 @@ def section_type_check(
 ) -> DataFrame:
     """Add ``bad_section`` (first known section that is no object) and ``code``.
 
-    An absent section is fine; one set to null, a scalar or a list is not.
+    An absent section is fine; one set to null, a scalar or a list is not, and neither are
+    settings that are no object themselves.
     """
     parsed = df.withColumn("_settings", F.try_parse_json(json_col))
 
@@ -78,12 +80,14 @@ def section_type_check(
         found = F.schema_of_variant(F.variant_get("_settings", f"$.{section}", "variant"))
         return F.when(~found.startswith("OBJECT"), F.lit(section))
 
+    is_object = F.schema_of_variant("_settings").startswith("OBJECT")
     return (
         parsed.withColumn("bad_section", F.coalesce(*[bad(s) for s in sections]))
         .withColumn(
             "code",
             F.when(
-                F.col("_settings").isNull() | F.col("bad_section").isNotNull(), codes.CONFIG_ERROR
+                F.col("_settings").isNull() | ~is_object | F.col("bad_section").isNotNull(),
+                codes.CONFIG_ERROR,
             ).otherwise(codes.PASSED),
         )
         .drop("_settings")

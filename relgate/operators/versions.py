@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from relgate.functions import codes
 from relgate.functions.semver import (
@@ -21,6 +22,9 @@ from relgate.operators.skew import heavy_hitters
 
 CHUNK_ROWS = 5_000_000
 
+# Types that a ledger can be ordered by: their order is that of their ordinal.
+ORDERED = r"(tinyint|smallint|int|bigint|float|double|decimal.*|date|timestamp|timestamp_ntz)$"
+
 # The heaviest entities may be cut into more ranges than the others. With at most 4096
 # heavy entities that is about 1.1 million cut points, some 9 MB.
 TOP_ENTITIES = 16
@@ -39,14 +43,17 @@ def parse_versions(df: DataFrame, col: str) -> DataFrame:
 
 
 def bump_versions(df: DataFrame, col: str, bump_col: str) -> DataFrame:
-    """Add ``next_version`` and ``code``; a bad version or bump type gives code 109."""
-    bump, zero = F.col(bump_col), F.lit(0)
+    """Add ``next_version`` and ``code``; a bad version or bump type gives code 109.
+
+    So does a number that cannot be raised any further.
+    """
+    bump, zero, one = F.col(bump_col), F.lit(0), F.lit(1)
     major, minor, patch = (F.col(part) for part in BUMP_TYPES)
     parsed = parse_versions(df.withColumn("_version", F.col(col)), "_version")
     after = (
-        F.when(bump == "major", version_text(major + 1, zero, zero))
-        .when(bump == "minor", version_text(major, minor + 1, zero))
-        .when(bump == "patch", version_text(major, minor, patch + 1))
+        F.when(bump == "major", version_text(F.try_add(major, one), zero, zero))
+        .when(bump == "minor", version_text(major, F.try_add(minor, one), zero))
+        .when(bump == "patch", version_text(major, minor, F.try_add(patch, one)))
     )
     after = F.when(F.col("code") == codes.PASSED, after)
     code = F.when(after.isNull(), codes.VERSION_ERROR).otherwise(codes.PASSED)
@@ -73,14 +80,16 @@ def version_ledger(
 ) -> DataFrame:
     """Version of each entity after each event: adds ``version``.
 
-    Rows whose bump is no bump type carry the version forward. ``order`` is a
-    number or timestamp, unique per entity.
+    Rows whose bump is no bump type carry the version forward. ``order`` is a number, date
+    or timestamp, unique per entity; a NULL comes first; any other type is refused.
 
     Running counts need an entity's rows in order. An entity of ``chunk_rows`` rows or
     more is cut into ranges of ``order`` of about that size; each range is counted on
     its own, and the counts of the ranges before it are added. Cut points are found by
     jobs run before the plan is built, and only for the (at most 4096) heaviest entities.
     """
+    if not re.match(ORDERED, dict(events.dtypes)[order]):
+        raise TypeError(f"{order} is no number, date or timestamp")
     cuts = _heavy_cuts(events, entity, order, chunk_rows)
     if cuts is None:
         counted = _running(events, [entity], order, bump)
@@ -102,7 +111,7 @@ def version_ledger(
 
 
 def _ordinal(events: DataFrame, order: str) -> Column:
-    """The order as a whole number that never falls where the order rises."""
+    """The order as a number that never falls where the order rises."""
     dtype = dict(events.dtypes)[order]
     at = F.col(order)
     if dtype == "timestamp":
@@ -115,6 +124,8 @@ def _ordinal(events: DataFrame, order: str) -> Column:
         minutes = (days * 24 + F.hour(at)) * 60 + F.minute(at)
         seconds = F.extract(F.lit("SECOND"), at)
         return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+    if dtype in ("float", "double") or dtype.startswith("decimal"):
+        return at.cast("double")
     return at.cast("bigint")
 
 
@@ -154,8 +165,9 @@ def _heavy_cuts(
         for key, points in cuts.collect():
             points = sorted(set(points))
             blocks.append((key, [points[i : i + side] for i in range(0, len(points), side)]))
+    fractional = re.match("float|double|decimal", dict(events.dtypes)[order])
     schema = StructType([heavy.schema["_cut_entity"]]).add(
-        "_cuts", ArrayType(ArrayType(LongType()))
+        "_cuts", ArrayType(ArrayType(DoubleType() if fractional else LongType()))
     )
     return spark.createDataFrame(blocks, schema)
 
@@ -225,14 +237,19 @@ def _chunk_totals(heavy_rows: DataFrame, entity: str, order: str, bump: str) ->
         F.col(entity).eqNullSafe(F.col("_reset_entity"))
         & (F.col("_chunk") == F.col("_reset_chunk")),
     )
-    minors_before = F.count_if(is_minor & (at < F.col("_last_major")))
-    patches_before = F.count_if(is_patch & (at < F.col("_last_reset")))
+
+    def before(last: str) -> Column:
+        # The one row without an order comes first, before any reset that has one.
+        return F.col(last).isNotNull() & F.coalesce(at < F.col(last), F.lit(True))
+
+    minors_before = F.count_if(is_minor & before("_last_major"))
+    patches_before = F.count_if(is_patch & before("_last_reset"))
     return known.groupBy(entity, "_chunk").agg(
         F.count_if(is_major).alias("_majors"),
         F.count_if(is_minor).alias("_minors"),
         F.count_if(is_patch).alias("_patches"),
-        F.when(F.max("_last_major").isNotNull(), minors_before).alias("_minor_reset"),
-        F.when(F.max("_last_reset").isNotNull(), patches_before).alias("_patch_reset"),
+        F.when(F.count_if(is_major) > 0, minors_before).alias("_minor_reset"),
+        F.when(F.count_if(is_major | is_minor) > 0, patches_before).alias("_patch_reset"),
     )
 
 

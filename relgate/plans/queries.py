@@ -453,10 +453,10 @@ def duplication_gate_query(spark, sf_dir):
     matching AS (SELECT doc_id, min(line_no) AS line_no, arg_min(line, line_no) AS line FROM lines
                  WHERE contains(lower(line), 'license') AND contains(lower(line), 'under')
                  GROUP BY doc_id),
-    scraped AS (SELECT doc_id, line_no,
+    scraped AS (SELECT doc_id, m.line_no,
                        try_cast(regexp_extract(line, '[Vv]ersion ([0-9]+(\.[0-9]+)*)', 1) AS DOUBLE)
                          AS value
-                FROM matching)
+                FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN matching m USING (doc_id))
     SELECT *, CASE WHEN value IS NULL THEN 'unmeasured' ELSE 'measured' END AS status FROM scraped
     """,
 )
@@ -1156,14 +1156,13 @@ def latest_version_query(spark, sf_dir):
 
 # --- sinks -----------------------------------------------------------------------
 
-ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+ORDERS_SQL = "SELECT * FROM orders"
 
 
 @query("p1_build", ORDERS_SQL)
 def build_query(spark, sf_dir):
     staging = scratch_path(spark, "build")
-    orders = table(spark, sf_dir, "orders", *ORDER_COLUMNS)
+    orders = table(spark, sf_dir, "orders")
     build(orders.filter("o_orderstatus = 'F'"), staging)
     return build(orders, staging)
 
@@ -1171,7 +1170,7 @@ def build_query(spark, sf_dir):
 @query("p2_build_formats", ORDERS_SQL)
 def build_formats_query(spark, sf_dir):
     staging = scratch_path(spark, "build")
-    orders = table(spark, sf_dir, "orders", *ORDER_COLUMNS)
+    orders = table(spark, sf_dir, "orders")
     build(orders, staging, ("parquet", "json"))
     return read_built(spark, staging, "json", orders)
 
@@ -1185,7 +1184,7 @@ def build_formats_query(spark, sf_dir):
 )
 def publish_query(spark, sf_dir):
     root = scratch_path(spark, "published")
-    orders = table(spark, sf_dir, "orders", *ORDER_COLUMNS)
+    orders = table(spark, sf_dir, "orders")
     published = publish(orders, root, "orders", "1.0.0")
     second_code = codes.PASSED
     try:
@@ -1202,7 +1201,7 @@ def publish_query(spark, sf_dir):
 )
 def new_rows_query(spark, sf_dir):
     root = scratch_path(spark, "published")
-    orders = table(spark, sf_dir, "orders", *ORDER_COLUMNS)
+    orders = table(spark, sf_dir, "orders")
     publish(orders.filter("o_orderstatus = 'F'"), root, "orders", "1.0.0")
     kept = publish(orders, root, "orders", "1.0.0", skip_existing=True)
     return new_rows(orders, kept, ["o_orderkey"])

@@ -103,13 +103,20 @@ def _validate(spark: SparkSession, plan: Release, found: dict) -> str:
         F.count("*").alias("total"),
         F.count_if(failed).alias("failed"),
         F.min_by(
-            F.struct("code", "message"), F.when(failed, F.col(plan.verdict_key))
+            F.struct("code", "message"),
+            F.when(failed, F.struct(F.col(plan.verdict_key).isNull(), plan.verdict_key)),
         ).alias("first"),
     ).first()
+    if not seen.total:
+        raise GateError(codes.CODES["MISSING_README"], "no record was checked")
+    if plan.candidate.isEmpty():
+        raise GateError(codes.INVALID_RECORD, "the candidate has no rows")
     if 100.0 * seen.failed > plan.max_invalid_pct * seen.total:
         raise GateError(seen.first.code, seen.first.message)
-    if not duplicate_keys(plan.candidate, plan.keys).isEmpty():
-        raise GateError(codes.INVALID_RECORD, f"keys are not unique: {', '.join(plan.keys)}")
+    for side, rows in (("candidate", plan.candidate), ("previous", plan.previous)):
+        if not duplicate_keys(rows, plan.keys).isEmpty():
+            keys = ", ".join(plan.keys)
+            raise GateError(codes.INVALID_RECORD, f"keys of the {side} rows are not unique: {keys}")
     return f"{seen.failed} of {seen.total} records failed"
 
 

@@ -54,15 +54,15 @@ def publish(
     """Write a new version under ``root/name`` and return it, re-read.
 
     A published version is never changed: it is code 106, or left as it is with
-    ``skip_existing``. A folder whose write never finished is in the way too, unless
-    ``replace_unfinished``. The existence test and the write are two steps, so two
+    ``skip_existing``. A folder whose write never finished is code 106 in either case,
+    unless ``replace_unfinished``. The existence test and the write are two steps, so two
     writers of one version must be kept apart by the caller.
     """
     spark = df.sparkSession
-    if replace_unfinished and version not in published_versions(spark, root, name):
-        mode = "overwrite"
-    else:
-        mode = "ignore" if skip_existing else "errorifexists"
+    finished = version in published_versions(spark, root, name)
+    if finished and skip_existing:
+        return read_dataset(spark, root, name, version)
+    mode = "overwrite" if replace_unfinished and not finished else "errorifexists"
     try:
         df.write.mode(mode).parquet(version_path(root, name, version))
     except AnalysisException as error:

@@ -24,6 +24,7 @@ TYPES = {
     "DOUBLE": "double",
     "VARCHAR": "string",
     "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
 }
 
 

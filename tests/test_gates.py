@@ -81,6 +81,7 @@ def test_scrape_takes_the_first_matching_line(spark):
     assert sorted(map(tuple, found.collect())) == [
         (1, 1, 12.5, "measured"),
         (2, 0, None, "unmeasured"),
+        (3, None, None, "unmeasured"),
     ]
 
 

@@ -146,7 +146,7 @@ def test_a_release_ends_at_its_first_failure(spark, tmp_path):
     tolerant = release(spark, plan(spark, root, new, old, bad, max_invalid_pct=70.0)).first()
     assert (tolerant.status, tolerant.message) == ("passed", "2 of 3 records failed")
     repeated = release(spark, plan(spark, root, new.union(old), old)).first()
-    assert (repeated.code, repeated.message) == (112, "keys are not unique: k")
+    assert (repeated.code, repeated.message) == (112, "keys of the candidate rows are not unique: k")
 
     gated = release(spark, plan(spark, root, new, old, gates=[1.0, 1.5, 9.0])).collect()
     assert (gated[1].code, gated[1].message) == (102, "g1 1.50 above 1.00")
