@@ -30,8 +30,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 class Settings:
     """``positives`` and ``unlabelled`` bound the sample of rows that the model is fitted on."""
 
-    positives: int = 2000
-    unlabelled: int = 4000
+    positives: int = 1000
+    unlabelled: int = 2000
     least_documents: int = 3
     least_excess: float = 4.0
     vocabulary: int = 20_000
