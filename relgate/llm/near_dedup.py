@@ -4,10 +4,13 @@ Documents with equal shingle sets are one class. Class signatures are read in se
 orders, the trees; in a tree, classes that share a prefix of the order form a region, and a
 region with too many classes is taken at a greater depth. In each region the neighbours in
 sorted order, which share the longest prefixes, and the region's first class are the
-candidates. Candidates are confirmed on full shingle sets. Then every pair of classes of
-one region that are not yet connected is compared too, so no pair of a region is left out.
-In groups of more classes than a region holds, a class that is similar to a few others only
-is compared at greater depths alone, and can be missed.
+candidates. Candidates are confirmed on full shingle sets.
+
+The forest is searched in rounds: first two trees, then all, then all with more neighbours
+and with every pair of a region. A pair that earlier links connect already is not taken
+again, as it cannot change a component; so a large group costs each class a few pairs. In
+groups of more classes than a region holds, a class that is similar to a few others only is
+compared with its nearest neighbours of each tree alone, and can be missed.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ TREES = 10
 #: regions that would hold more than ``REGION`` classes.
 DEPTHS = (3, 6, 12, 24)
 REGION = 128
+#: Trees, and neighbours before a class in sorted order, of each round of the search.
+ROUNDS = ((2, 1), (TREES, 1), (TREES, 4))
 #: A pair whose signatures agree in fewer places than this share has a similarity of 0.8 or
 #: more with a probability below 1e-5 (128 places, 4.4 standard deviations).
 SIGNATURE_FLOOR = 0.64
@@ -137,15 +142,15 @@ def _prefixes(classes: DataFrame) -> DataFrame:
                 rest = order[:, DEPTHS[0] : DEPTHS[0] + 6].astype(">u4").tobytes()
                 rest = [rest[i : i + 24] for i in range(0, len(rest), 24)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *keys, pa.array(rest, pa.binary())],
-                    names=["id", *(f"k{d}" for d in DEPTHS), "rest"],
+                    [batch.column(0), pa.array(np.full(n, tree, np.int32)), *keys, pa.array(rest, pa.binary())],
+                    names=["id", "tree", *(f"k{d}" for d in DEPTHS), "rest"],
                 )
 
-    return classes.select("id", "sig").mapInArrow(run, f"id long, {fields}, rest binary")
+    return classes.select("id", "sig").mapInArrow(run, f"id long, tree int, {fields}, rest binary")
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """``region, head, id, rest``: regions of 2 to ``REGION`` classes.
+    """``tree, region, above, first, id, rest``: regions of 2 to ``REGION`` classes.
 
     A larger region is left for the next depth. Its ``head``, the smallest id, stays known
     there, so that its parts are still compared through it. What is too large at the last
@@ -160,7 +165,7 @@ def _regions(classes: DataFrame) -> DataFrame:
         known = written(rows.join(sizes, key), "regions")
         head = F.coalesce("above", "first")
         found.append(
-            known.filter(F.col("n") <= REGION).select(F.col(key).alias("region"), "above", "first", "id", "rest")
+            known.filter(F.col("n") <= REGION).select("tree", F.col(key).alias("region"), "above", "first", "id", "rest")
         )
         rows = known.filter(F.col("n") > REGION).withColumn("above", head).drop("first")
         if depth != DEPTHS[-1]:
@@ -171,13 +176,58 @@ def _regions(classes: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / REGION))
         dealt = rows.withColumn("region", F.xxhash64(key, part))
         firsts = dealt.groupBy("region").agg(F.min("id").alias("first"))
-        found.append(dealt.join(firsts, "region").select("region", "above", "first", "id", "rest"))
+        found.append(dealt.join(firsts, "region").select("tree", "region", "above", "first", "id", "rest"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return written(out, "regions")
 
 
+def _named(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``regions`` with the component of each class and of the head above."""
+    if labels is None:
+        return regions.withColumn("component", F.col("id")).withColumn("c_above", F.col("above"))
+    known = regions.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = known.join(labels.select(F.col("node").alias("above"), F.col("component").alias("c_above")), "above", "left")
+    return known.withColumns(
+        {"component": F.coalesce("component", "id"), "c_above": F.coalesce("c_above", "above")}
+    )
+
+
+def _candidates(named: DataFrame, reach: int) -> DataFrame:
+    """``a, b``: each class with those before it and its region's first, if not connected yet.
+
+    A region's first class alone is compared with the head of the region above it.
+    """
+    order = Window.partitionBy("region").orderBy("rest", "id")
+    me = F.struct("id", "component")
+    head = F.struct(F.col("above").alias("id"), F.col("c_above").alias("component"))
+    near = named.select(
+        "id",
+        "component",
+        F.concat(
+            F.collect_list(me).over(order.rowsBetween(-reach, -1)),
+            F.array(F.min(me).over(Window.partitionBy("region"))),
+            F.when((F.col("id") == F.col("first")) & F.col("above").isNotNull(), F.array(head)).otherwise(F.array()),
+        ).alias("others"),
+    )
+    apart = F.filter("others", lambda o: o["component"] != F.col("component"))
+    return (
+        near.select("id", F.explode(F.array_distinct(F.transform(apart, lambda o: o["id"]))).alias("other"))
+        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .distinct()
+    )
+
+
+def _inside(named: DataFrame) -> DataFrame:
+    """``a, b``: every pair of a region whose classes are not connected yet."""
+    mixed = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    mixed = written(named.join(mixed.filter("x <> y").select("region"), "region", "left_semi"), "mixed")
+    left = mixed.select("region", F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = mixed.select("region", F.col("id").alias("b"), F.col("component").alias("cb"))
+    return left.join(right, "region").filter("a < b and ca <> cb").select("a", "b")
+
+
 def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b, close``: pairs whose signatures agree in enough places."""
 
@@ -219,7 +269,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs.select("a", "b"), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     full = docs.join(asked, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
     full = written(full.dropDuplicates(["id"]), "sets")
@@ -247,45 +296,34 @@ def near_duplicates(
         "classes",
     ).select("digest", "id", "sig")
     regions = _regions(classes)
-    order = Window.partitionBy("region").orderBy("rest", "id")
-    # A region's first class alone is compared with the head of the region above it.
-    near = regions.select(
-        "id", "first", F.lag("id").over(order).alias("before"), F.when(F.col("id") == F.col("first"), F.col("above")).alias("head")
-    )
-    candidates = (
-        near.select("id", F.explode(F.array_distinct(F.array("before", "first", "head"))).alias("other"))
-        .filter("other <> id")
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
-    )
-    close = written(_agreement(candidates, classes), "candidates")
-    # The closest candidate of each class first: these links join most of what belongs together.
-    best = (
-        close.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "close")
-        .groupBy("id")
-        .agg(F.max_by(F.struct("a", "b"), F.struct("close", -F.col("a"), -F.col("b"))).alias("p"))
-        .select("p.*")
-        .distinct()
-    )
-    links = _confirmed(best, docs, words, percent)
-    # Then all pairs of a region, and candidates, that are not connected yet.
-    labels = components(links)
-    named = regions.select("region", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    named = named.withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = written(named.join(mixed.filter("x <> y").select("region"), "region", "left_semi"), "mixed")
-    left = mixed.select("region", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = mixed.select("region", F.col("id").alias("b"), F.col("component").alias("cb"))
-    inside = left.join(right, "region").filter("a < b and ca <> cb").select("a", "b")
-    ends = close.select("a", "b")
-    for side in "ab":
-        known = labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        ends = ends.join(known, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    across = ends.filter("ca <> cb").select("a", "b").unionByName(
-        _agreement(inside.distinct(), classes).select("a", "b")
-    )
-    tried = best.select("a", "b")
-    more = _confirmed(across.distinct().join(tried, ["a", "b"], "left_anti"), docs, words, percent)
+    links = tried = labels = None
+    for trees, reach in ROUNDS:
+        last = (trees, reach) == ROUNDS[-1]
+        named = _named(regions.filter(F.col("tree") < trees), labels)
+        pairs = _candidates(named, reach)
+        if last:
+            pairs = pairs.unionByName(_inside(named)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        close = written(_agreement(pairs, classes), "candidates")
+        if last:
+            close = close.select("a", "b")
+        else:
+            # The closest candidate of each class: these join most of what belongs together,
+            # and a later round finds the others again.
+            close = (
+                close.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "close")
+                .groupBy("id")
+                .agg(F.max_by(F.struct("a", "b"), F.struct("close", -F.col("a"), -F.col("b"))).alias("p"))
+                .select("p.*")
+                .distinct()
+            )
+        close = written(close, "pairs")
+        more = _confirmed(close, docs, words, percent)
+        links = more if links is None else links.unionByName(more)
+        tried = close if tried is None else tried.unionByName(close)
+        if not last:
+            labels = written(components(links), "labels")
     same_key = (
         usable.join(classes.select("digest", F.col("id").alias("class")), "digest")
         .groupBy("id")
@@ -293,7 +331,7 @@ def near_duplicates(
         .filter("a <> b")
         .select("a", "b")
     )
-    final = components(links.unionByName(more).unionByName(same_key)).withColumnRenamed("node", "id")
+    final = components(links.unionByName(same_key)).withColumnRenamed("node", "id")
     by_class = classes.select("digest", "id").join(final, "id", "left")
     by_class = by_class.select("digest", F.coalesce("component", "id").alias("component"))
     out = described.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
