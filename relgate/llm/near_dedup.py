@@ -320,7 +320,9 @@ def near_duplicates(
             )
         close = written(close, "pairs")
         more = _confirmed(close, docs, words, percent)
-        links = more if links is None else links.unionByName(more)
+        if labels is not None:  # what is known is a star per component, and soon merged again
+            more = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        links = more
         tried = close if tried is None else tried.unionByName(close)
         if not last:
             labels = written(components(links), "labels")
