@@ -20,13 +20,16 @@ def version_part(version: Column, position: int) -> Column:
     return F.when(version.rlike(VERSION_PATTERN), part).try_cast("bigint")
 
 
-def version_struct(version: Column) -> Column:
-    """``(major, minor, patch)``; structs of numbers order numerically."""
-    return F.struct(
-        version_part(version, 1).alias("major"),
-        version_part(version, 2).alias("minor"),
-        version_part(version, 3).alias("patch"),
-    )
+def version_order(version: Column) -> Column:
+    """``(major, minor, patch)``, which orders numerically; NULL when the text is no version.
+
+    The pattern is tested once per row.
+    """
+    parts = [F.split_part(version, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3)]
+    known = version.rlike(VERSION_PATTERN)
+    for part in parts:
+        known = known & part.isNotNull()
+    return F.when(known, F.struct(*[p.alias(name) for p, name in zip(parts, BUMP_TYPES)]))
 
 
 def version_text(major: Column, minor: Column, patch: Column) -> Column:

@@ -28,6 +28,16 @@ def exact_clones(df: DataFrame, id_col: str, text_col: str, hot_min: int = HOT_M
     return members.select("group_id", id_col, "n")
 
 
+def drop_clones(df: DataFrame, id_col: str, text_col: str, hot_min: int = HOT_MIN) -> DataFrame:
+    """``df`` with one row of each group of equal texts, that of the lowest id.
+
+    Rows without a text all stay, and so do rows without an id. Ids are unique. What is
+    to go is found from digests; the rows themselves meet only the list of ids to drop.
+    """
+    members = exact_clones(df, id_col, text_col, hot_min)
+    return df.join(members.filter(F.col(id_col) != F.col("group_id")).select(id_col), id_col, "left_anti")
+
+
 def _line_digests(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     lines = F.transform(lines_of(F.col(text_col)), digest)
     return df.filter(F.col(text_col).isNotNull()).select(*keep, lines.alias("_lines"))

@@ -65,15 +65,15 @@ def snapshot_diff(
     keys: Sequence[str],
     cols: Sequence[str] | None = None,
     carry: Sequence[str] = (),
-    by_digest: Sequence[str] = (),
+    by_digest: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every key of either snapshot: ``(keys, carry, op, changed_cols)``.
 
     ``op`` is added, removed, modified or same. ``cols`` are compared null-safely
     (default: all non-key columns both have with one type; see ``schema_drift`` for
     the others). ``carry`` columns are taken from the new
-    row, or the old one if removed. Long texts named in ``by_digest`` are shuffled and
-    compared as 16-byte digests. Keys must be unique in each snapshot
+    row, or the old one if removed. Texts and binaries (or those in ``by_digest``) of 16
+    bytes and more are shuffled and compared as 16-byte digests. Keys must be unique in each snapshot
     (see ``duplicate_keys``), so one shuffle per side on the keys is all it takes.
     """
     if cols is None:
@@ -81,17 +81,18 @@ def snapshot_diff(
         cols = [c for c, dtype in new.dtypes if c not in keys and before.get(c) == dtype]
 
     def comparable(df: DataFrame, c: str) -> Column:
+        kind, value = dict(df.dtypes)[c], F.col(c)
+        if kind in ("string", "binary") and (by_digest is None or c in by_digest):
+            # Shorter values stand for themselves; NULL stays NULL.
+            short = F.when(F.octet_length(value) < 16, value.cast("binary"))
+            return short.when(value.isNotNull(), digest(value))
         # Maps cannot be compared, but their entries in order can.
-        is_map = dict(df.dtypes)[c].startswith("map<")
-        return F.array_sort(F.map_entries(c)) if is_map else F.col(c)
+        return F.array_sort(F.map_entries(c)) if kind.startswith("map<") else value
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(
             *keys,
-            *[
-                (digest(F.col(c)) if c in by_digest else comparable(df, c)).alias(f"_{tag}_{c}")
-                for c in cols
-            ],
+            *[comparable(df, c).alias(f"_{tag}_{c}") for c in cols],
             *[F.col(c).alias(f"_{tag}_carry_{c}") for c in carry],
             F.lit(True).alias(f"_in_{tag}"),
         )
@@ -365,26 +366,36 @@ def score_changes(
     scorer: Callable[[pd.Series], pd.Series],
 ) -> DataFrame:
     """Have ``scorer`` turn change texts into change records:
-    ``(keys, title, description, bump_type, code)``.
+    ``(keys, title, description, bump_type, code, error)``.
 
     ``scorer`` gets a batch of texts and returns as many JSON texts. It runs in the
     tasks, one Arrow batch at a time. Its answers are checked by
-    ``parse_change_record``; where it raises, only the rows it raises on get code 103.
+    ``parse_change_record``. A batch it raises on, or answers in another number, is
+    halved until only the rows at fault are left: they get code 103 and the reason as
+    ``error``.
     """
     key_fields = [df.schema[k] for k in keys]
-    schema = StructType(key_fields).add("_record_json", StringType())
+    schema = StructType(key_fields).add("_record_json", StringType()).add("error", StringType())
 
     def score(texts: pd.Series) -> list:
         try:
-            return list(scorer(texts))
-        except Exception:
-            if len(texts) == 1:
-                return [None]
-            return [score(texts.iloc[i : i + 1])[0] for i in range(len(texts))]
+            answers = list(scorer(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+            return [(answer, None) for answer in answers]
+        except Exception as error:
+            half = len(texts) // 2
+            if not half:
+                return [(None, f"{type(error).__name__}: {error}")] * len(texts)
+            return score(texts.iloc[:half]) + score(texts.iloc[half:])
 
     def score_batches(batches):
         for batch in batches:
-            yield batch[list(keys)].assign(_record_json=score(batch[text_col]))
+            answers = score(batch[text_col])
+            yield batch[list(keys)].assign(
+                _record_json=[a for a, _ in answers], error=[e for _, e in answers]
+            )
 
     scored = df.select(*keys, text_col).mapInPandas(score_batches, schema)
-    return parse_change_record(scored, "_record_json").drop("_record_json")
+    parsed = parse_change_record(scored, "_record_json")
+    return parsed.select(*keys, *RECORD_FIELDS, "code", "error")

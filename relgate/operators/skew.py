@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +36,27 @@ def join_key_stats(
 ) -> DataFrame:
     """Inner join of ``rows`` to ``stats`` (one row per ``key``, ``weight`` = its rows).
 
-    Rows of a heavy key get their stats from a broadcast list where they were read
-    and are not shuffled at all; all other rows meet their stats by a shuffle join.
-    With no heavy key the list is empty, and adaptive execution drops its half of
-    the plan. Rows with a NULL key match nothing; put the key in a struct to have
-    NULLs match.
+    Rows are read once. Those of a heavy key get their stats from a broadcast list where
+    they were read; in the shuffle join that all other rows meet their stats by, they are
+    spread by a hash of the whole row. Rows with a NULL key match nothing; put the key
+    in a struct to have NULLs match.
     """
     names = [c for c in stats.columns if c != key]
-    entries = F.struct(*names).alias("_stats")
+    entries = F.struct(*names)
     hot = heavy_hitters(stats, key, weight, hot_min, max_hot).select(
-        F.col(key).alias("_hot_key"), entries
+        F.col(key).alias("_hot_key"), entries.alias("_hot")
+    )
+    keyed = rows.filter(F.col(key).isNotNull())
+    tagged = keyed.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    hashable = [c for c, kind in rows.dtypes if not re.search("map<|variant", kind)]
+    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*hashable))
+    # One key of both parts: a second, constant one would be folded away, and the rows of
+    # a heavy key would meet in one task.
+    cold = stats.filter(F.col(key).isNotNull()).select(
+        F.struct(F.col(key).alias("key"), F.lit(None).cast("bigint").alias("spread")).alias("_place"),
+        entries.alias("_cold"),
     )
-    tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    cold = stats.select(F.col(key).alias("_cold_key"), entries)
-    on_hot = tagged.filter(F.col("_stats").isNotNull())
-    rest = tagged.filter(F.col("_stats").isNull()).drop("_stats")
-    on_cold = rest.join(cold, F.col(key) == F.col("_cold_key"))
-    output = [*rows.columns, *[F.col(f"_stats.{c}").alias(c) for c in names]]
-    return on_hot.select(*output).union(on_cold.select(*output))
+    placed = tagged.withColumn("_at", F.struct(F.col(key).alias("key"), spread.alias("spread")))
+    joined = placed.join(cold, F.col("_at") == F.col("_place"), "left")
+    found = joined.withColumn("_stats", F.coalesce("_hot", "_cold")).filter("_stats IS NOT NULL")
+    return found.select(*rows.columns, *[F.col(f"_stats.{c}").alias(c) for c in names])

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from relgate.functions.text import words_of
 
+#: The most that is broadcast, and what a term takes there beside its bytes.
+BROADCAST_BYTES = 64_000_000
+TERM_BYTES = 64
+
 
 def unreferenced_keys(
     defs: DataFrame, refs: Sequence[tuple[DataFrame, Sequence[str]]], on: Sequence[str]
@@ -25,14 +29,30 @@ def unreferenced_keys(
     return defs.select(*on).join(used, list(on), "left_anti")
 
 
+def _tokens(df: DataFrame, text_col: str) -> DataFrame:
+    return df.select(F.explode(words_of(F.col(text_col))).alias("term")).filter("term <> ''")
+
+
 def terms(df: DataFrame, text_col: str) -> DataFrame:
     """Distinct lower-cased tokens; repeats are dropped on the map side."""
-    tokens = df.select(F.explode(words_of(F.col(text_col))).alias("term"))
-    return tokens.filter("term <> ''").distinct()
+    return _tokens(df, text_col).distinct()
 
 
 def unreferenced_terms(
-    defs: DataFrame, defs_text: str, refs: DataFrame, refs_text: str
+    defs: DataFrame,
+    defs_text: str,
+    refs: DataFrame,
+    refs_text: str,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Terms of the defining texts that no referring text uses."""
-    return terms(defs, defs_text).join(terms(refs, refs_text), "term", "left_anti")
+    """Terms of the defining texts that no referring text uses.
+
+    The distinct terms are measured first. If they fit into ``broadcast_bytes``, only tokens
+    that are among them leave the task that read them; else all distinct tokens do.
+    """
+    wanted = terms(defs, defs_text)
+    used = _tokens(refs, refs_text)
+    size = wanted.agg(F.sum(F.octet_length("term") + TERM_BYTES)).first()[0] or 0
+    if size <= broadcast_bytes:
+        used = used.join(F.broadcast(wanted), "term", "left_semi")
+    return wanted.join(used.distinct(), "term", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 from relgate.functions import codes
 from relgate.functions.semver import (
     BUMP_TYPES,
+    version_order,
     version_part,
-    version_struct,
     version_text,
 )
 from relgate.functions.settings import START_VERSION
@@ -31,6 +31,9 @@ TOP_ENTITIES = 16
 TOP_CHUNKS = 4096
 OTHER_CHUNKS = 256
 
+# Up to so many cut points, rows per range (some 100 bytes each) are broadcast.
+BROADCAST_POINTS = 100_000
+
 
 def parse_versions(df: DataFrame, col: str) -> DataFrame:
     """Add ``major, minor, patch`` and ``code``."""
@@ -62,12 +65,8 @@ def bump_versions(df: DataFrame, col: str, bump_col: str) -> DataFrame:
 
 def latest_version(df: DataFrame, entity: Sequence[str], version: str) -> DataFrame:
     """Highest version per entity, in numeric order; text that is no version is ignored."""
-    text = F.col(version)
-    order = version_struct(text)
-    known = df
-    for position in (1, 2, 3):
-        known = known.filter(version_part(text, position).isNotNull())
-    return known.groupBy(*entity).agg(F.max_by(version, order).alias(version))
+    found = df.groupBy(*entity).agg(F.max_by(version, version_order(F.col(version))).alias(version))
+    return found.filter(F.col(version).isNotNull()) if entity else found
 
 
 def version_ledger(
@@ -90,7 +89,7 @@ def version_ledger(
     """
     if not re.match(ORDERED, dict(events.dtypes)[order]):
         raise TypeError(f"{order} is no number, date or timestamp")
-    cuts = _heavy_cuts(events, entity, order, chunk_rows)
+    cuts, points = _heavy_cuts(events, entity, order, chunk_rows)
     if cuts is None:
         counted = _running(events, [entity], order, bump)
         return _with_version(counted, events.columns, start, carried=False)
@@ -100,7 +99,9 @@ def version_ledger(
     ).withColumn("_chunk", _chunk_of(F.col("_cuts"), _ordinal(events, order)))
     counted = _running(chunked, [entity, "_chunk"], order, bump)
     heavy_rows = chunked.filter(F.col("_cuts").isNotNull())
-    carry = F.broadcast(_carried_in(_chunk_totals(heavy_rows, entity, order, bump), entity))
+    # Per range there is one row of either; adaptive execution decides beyond the bound.
+    hint = F.broadcast if points <= BROADCAST_POINTS else lambda df: df
+    carry = hint(_carried_in(_chunk_totals(heavy_rows, entity, order, bump, hint), entity))
     joined = counted.join(
         carry,
         F.col(entity).eqNullSafe(F.col("_carry_entity"))
@@ -131,8 +132,9 @@ def _ordinal(events: DataFrame, order: str) -> Column:
 
 def _heavy_cuts(
     events: DataFrame, entity: str, order: str, chunk_rows: int
-) -> DataFrame | None:
-    """Cut points ``(_cut_entity, _cuts)`` of the heavy entities; None if there are none.
+) -> tuple[DataFrame | None, int]:
+    """Cut points ``(_cut_entity, _cuts)`` of the heavy entities, None if there are none,
+    and how many there are.
 
     The result is fetched (its size is bounded, see above) and made a literal frame, so
     every later stage, retried or not, cuts at the same points.
@@ -144,7 +146,7 @@ def _heavy_cuts(
     )
     found = heavy.collect()
     if not found:
-        return None
+        return None, 0
     ordinal = _ordinal(events, order)
     blocks = []
     for entities, most in (
@@ -169,7 +171,8 @@ def _heavy_cuts(
     schema = StructType([heavy.schema["_cut_entity"]]).add(
         "_cuts", ArrayType(ArrayType(DoubleType() if fractional else LongType()))
     )
-    return spark.createDataFrame(blocks, schema)
+    points = sum(len(block) for _, cut in blocks for block in cut)
+    return spark.createDataFrame(blocks, schema), points
 
 
 def _chunk_of(cuts: Column, ordinal: Column) -> Column:
@@ -219,7 +222,13 @@ def _running(df: DataFrame, keys: list[str], order: str, bump: str) -> DataFrame
     )
 
 
-def _chunk_totals(heavy_rows: DataFrame, entity: str, order: str, bump: str) -> DataFrame:
+def _chunk_totals(
+    heavy_rows: DataFrame,
+    entity: str,
+    order: str,
+    bump: str,
+    hint: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     """What ``_running`` ends with in each chunk of the heavy entities.
 
     Two aggregations, partly done on the map side, so the rows are neither shuffled nor
@@ -233,7 +242,7 @@ def _chunk_totals(heavy_rows: DataFrame, entity: str, order: str, bump: str) ->
         F.max(F.when(is_major | is_minor, at)).alias("_last_reset"),
     )
     known = heavy_rows.join(
-        F.broadcast(resets),
+        hint(resets),
         F.col(entity).eqNullSafe(F.col("_reset_entity"))
         & (F.col("_chunk") == F.col("_reset_chunk")),
     )

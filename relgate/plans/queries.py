@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,13 @@ from pyspark.sql import functions as F
 
 from relgate.functions import codes
 from relgate.functions.codes import GateError, with_code_name
-from relgate.functions.settings import MAX_COMPLEXITY, MAX_DUPLICATES, MIN_TEXT_LENGTH
+from relgate.functions.settings import (
+    DEFAULT_SETTINGS,
+    MAX_COMPLEXITY,
+    MAX_DUPLICATES,
+    MIN_TEXT_LENGTH,
+    REQUIRED_FIELDS,
+)
 from relgate.functions.text import lines_of
 from relgate.operators import clones, diff, gates, overlay, unused, validate, versions
 from relgate.plans.release import Gate, Release, release
@@ -160,7 +167,7 @@ def split_malformed_query(spark, sf_dir):
     return validate.split_malformed(cut_props(spark, sf_dir), "props").drop("props")
 
 
-MANIFEST_FIELDS = ["name", "version", "description", "readme"]
+MANIFEST_FIELDS = list(REQUIRED_FIELDS)
 
 
 def manifests(spark, sf_dir) -> DataFrame:
@@ -227,7 +234,10 @@ def required_sections_query(spark, sf_dir):
 
 
 def text_verdicts(spark, sf_dir, *carry: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents", "doc_id", "text", *carry)
+    return verdicts_of(table(spark, sf_dir, "documents", "doc_id", "text", *carry), *carry)
+
+
+def verdicts_of(documents: DataFrame, *carry: str) -> DataFrame:
     checks = validate.text_checks("text", MIN_TEXT_LENGTH, [". "])
     return validate.verdict(documents, ["doc_id", *carry], checks)
 
@@ -402,6 +412,17 @@ def exact_clones_query(spark, sf_dir):
     return clones.exact_clones(documents, "doc_id", "text")
 
 
+@query(
+    "q10_drop_clones",
+    """
+    SELECT doc_id, text, lang, source, n_chars FROM documents
+    WHERE text IS NULL OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)
+    """,
+)
+def drop_clones_query(spark, sf_dir):
+    return clones.drop_clones(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 WINDOW_CLONES_SQL = """
     WITH lines AS (
       SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no,
@@ -587,6 +608,43 @@ def overlay_query(spark, sf_dir):
     return overlay.overlay(defaults, overrides, ["doc_id", "section", "key"])
 
 
+SHIPPED_SQL = ", ".join(
+    f"('{section}', '{key}', {'NULL' if value is None else repr(value)})"
+    for section, keys in DEFAULT_SETTINGS.items()
+    for key, value in keys.items()
+)
+
+
+@query(
+    "c1_overlay_shipped",
+    f"""
+    WITH shipped(section, key, value) AS (VALUES {SHIPPED_SQL}),
+    overrides AS (
+      SELECT c_custkey, 'quality' AS section, 'max_complexity' AS key, (c_custkey % 30)::VARCHAR AS value
+      FROM customer WHERE c_custkey % 3 = 0
+      UNION ALL SELECT c_custkey, 'project', 'version', NULL FROM customer WHERE c_custkey % 3 = 1
+      UNION ALL SELECT c_custkey, 'build', 'sign', 'true' FROM customer WHERE c_custkey % 3 = 2)
+    SELECT coalesce(d.c_custkey, o.c_custkey) AS c_custkey, coalesce(d.section, o.section) AS section,
+           coalesce(d.key, o.key) AS key,
+           CASE WHEN o.c_custkey IS NULL THEN d.value ELSE o.value END AS value,
+           CASE WHEN o.c_custkey IS NULL THEN 'default' ELSE 'override' END AS origin
+    FROM (SELECT c_custkey, section, key, value FROM customer, shipped) d FULL JOIN overrides o
+      ON d.c_custkey = o.c_custkey AND d.section = o.section AND d.key = o.key
+    """,
+)
+def overlay_shipped_query(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer", "c_custkey")
+    turn = F.col("c_custkey") % 3
+    overrides = customers.select(
+        "c_custkey",
+        F.when(turn == 0, "quality").when(turn == 1, "project").otherwise("build").alias("section"),
+        F.when(turn == 0, "max_complexity").when(turn == 1, "version").otherwise("sign").alias("key"),
+        F.when(turn == 0, (F.col("c_custkey") % 30).cast("string")).when(turn == 2, "true").alias("value"),
+    )
+    defaults = overlay.default_rows(customers)
+    return overlay.overlay(defaults, overrides, ["c_custkey", "section", "key"])
+
+
 @query(
     "c1_overlay_maps",
     """
@@ -971,6 +1029,38 @@ def infer_bump_query(spark, sf_dir):
     return diff.infer_bump(order_diff(spark, sf_dir), diff.field_drift(old, new, "props"))
 
 
+@query(
+    "d8_infer_bump_cases",
+    f"""
+    WITH cases AS (
+      SELECT unnest(['all', 'grown', 'edited', 'same']) AS kept, o_orderkey, op FROM ({ORDER_DIFF_SQL})),
+    seen AS (
+      SELECT * FROM cases WHERE kept = 'all' OR op = 'same' OR (kept = 'edited' AND op = 'modified')
+                             OR (kept = 'grown' AND op IN ('modified', 'added'))),
+    counts AS (
+      SELECT kept, count(*) FILTER (WHERE op = 'added')::BIGINT AS added,
+             count(*) FILTER (WHERE op = 'removed')::BIGINT AS removed,
+             count(*) FILTER (WHERE op = 'modified')::BIGINT AS modified FROM seen GROUP BY kept),
+    bumps AS (SELECT *, CASE WHEN removed > 0 THEN 'major' WHEN added > 0 THEN 'minor'
+                             WHEN modified > 0 THEN 'patch' END AS bump_type FROM counts)
+    SELECT *, CASE WHEN bump_type IS NULL THEN 107 ELSE 0 END AS code FROM bumps
+    """,
+)
+def infer_bump_cases_query(spark, sf_dir):
+    kept = {
+        "all": ["same", "modified", "added", "removed"],
+        "grown": ["same", "modified", "added"],
+        "edited": ["same", "modified"],
+        "same": ["same"],
+    }
+    changes = order_diff(spark, sf_dir)
+    rows = None
+    for name, ops in kept.items():
+        row = diff.infer_bump(changes.filter(F.col("op").isin(*ops))).withColumn("kept", F.lit(name))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query(
     "d9_change_summary",
     f"""
@@ -1032,7 +1122,7 @@ def rule_scorer() -> Callable[[pd.Series], pd.Series]:
       FROM ({TITLES_SQL}))
     SELECT event_id, CASE WHEN bump_type IS NOT NULL THEN title END AS title,
            CASE WHEN bump_type IS NOT NULL THEN 'scored' END AS description, bump_type,
-           CASE WHEN bump_type IS NULL THEN 103 ELSE 0 END AS code
+           CASE WHEN bump_type IS NULL THEN 103 ELSE 0 END AS code, NULL::VARCHAR AS error
     FROM scored
     """,
 )
@@ -1110,14 +1200,14 @@ def bump_versions_query(spark, sf_dir):
     return versions.bump_versions(planted, "version", "bump")
 
 
-def user_ledger(spark, sf_dir) -> DataFrame:
+def user_ledger(spark, sf_dir, **given) -> DataFrame:
     events = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     kind = F.col("event_type")
     bump = (
         F.when(kind == "purchase", "major").when(kind == "signup", "minor").when(kind == "error", "patch")
     )
     bumps = events.select("event_id", "user_id", bump.alias("bump"))
-    return versions.version_ledger(bumps, "user_id", "event_id", "bump", start="0.0.0")
+    return versions.version_ledger(bumps, "user_id", "event_id", "bump", start="0.0.0", **given)
 
 
 LEDGER_SQL = """
@@ -1142,6 +1232,15 @@ def version_ledger_query(spark, sf_dir):
     return user_ledger(spark, sf_dir)
 
 
+@query(
+    "s3_version_ledger_split",
+    f"{LEDGER_SQL} SELECT event_id, user_id, bump, m || '.' || n || '.' || p AS version FROM patches",
+)
+def version_ledger_split_query(spark, sf_dir):
+    """The same ledger with every user cut into ranges of some ten events."""
+    return user_ledger(spark, sf_dir, chunk_rows=10)
+
+
 @query(
     "s4_latest_version",
     f"""
@@ -1274,6 +1373,91 @@ def release_published_query(spark, sf_dir):
     return release(spark, order_release(spark, sf_dir, settings, max_unused=float("inf")))
 
 
+@query(
+    "r1_release_empty",
+    f"""
+    SELECT 1 AS step, 'validation' AS name, 0 AS pct, 'failed' AS status, 112 AS code,
+           'the candidate has no rows' AS message
+    UNION ALL SELECT * FROM (VALUES (2, 'quality', 0, 'skipped', NULL, NULL),
+      (3, 'changes', 0, 'skipped', NULL, NULL), (4, 'version', 0, 'skipped', NULL, NULL),
+      (5, 'publish', 0, 'skipped', NULL, NULL))
+    """,
+)
+def release_empty_query(spark, sf_dir):
+    plan = order_release(spark, sf_dir, "{}", max_unused=0)
+    return release(spark, replace(plan, candidate=plan.candidate.filter("o_orderkey IS NULL")))
+
+
+@query(
+    "r1_release_repeated_previous",
+    f"""
+    SELECT 1 AS step, 'validation' AS name, 0 AS pct, 'failed' AS status, 112 AS code,
+           'keys of the previous rows are not unique: o_orderkey' AS message
+    UNION ALL SELECT * FROM (VALUES (2, 'quality', 0, 'skipped', NULL, NULL),
+      (3, 'changes', 0, 'skipped', NULL, NULL), (4, 'version', 0, 'skipped', NULL, NULL),
+      (5, 'publish', 0, 'skipped', NULL, NULL))
+    """,
+)
+def release_repeated_previous_query(spark, sf_dir):
+    plan = order_release(spark, sf_dir, "{}", max_unused=0)
+    return release(spark, replace(plan, previous=plan.previous.unionByName(plan.previous)))
+
+
+DOCUMENT_RELEASE_SQL = f"""
+    WITH candidate AS (
+      SELECT doc_id, source, CASE WHEN doc_id % 10 = 2 THEN text || chr(10) || 'Reviewed.' ELSE text END AS text
+      FROM documents
+      WHERE text IS NULL OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)),
+    {WINDOW_CLONES_SQL.strip().removeprefix("WITH ").replace("FROM documents", "FROM candidate")},
+    checked AS ({TEXT_VERDICTS_SQL.replace("FROM documents", "FROM candidate")}),
+    changes AS (
+      SELECT count(*) FILTER (WHERE c.doc_id IS NULL) AS removed,
+             count(*) FILTER (WHERE c.text IS DISTINCT FROM d.text AND c.doc_id IS NOT NULL) AS modified
+      FROM documents d LEFT JOIN candidate c USING (doc_id)),
+    bumped AS (SELECT *, CASE WHEN removed > 0 THEN 'major' ELSE 'patch' END AS bump,
+                      CASE WHEN removed > 0 THEN '2.0.0' ELSE '1.4.3' END AS version FROM changes)
+"""
+
+
+@query(
+    "r1_release_documents",
+    f"""
+    {DOCUMENT_RELEASE_SQL}
+    SELECT 1 AS step, 'validation' AS name, 20 AS pct, 'passed' AS status, 0 AS code,
+           count(*) FILTER (WHERE code <> 0) || ' of ' || count(*) || ' records failed' AS message FROM checked
+    UNION ALL SELECT 2, 'quality', 40, 'passed', 0, '1 gates passed'
+      WHERE 100.0 * (SELECT count(*) FROM covered) / (SELECT count(*) FROM lines) <= 99.0
+    UNION ALL SELECT 3, 'changes', 60, 'passed', 0,
+      bump || ': 0 added, ' || removed || ' removed, ' || modified || ' modified' FROM bumped
+    UNION ALL SELECT 4, 'version', 80, 'passed', 0, '1.4.2 -> ' || version FROM bumped
+    UNION ALL SELECT 5, 'publish', 100, 'passed', 0,
+      (SELECT count(*) FROM candidate) || ' rows as ' || version FROM bumped
+    """,
+)
+def release_documents_query(spark, sf_dir):
+    """One dataset checked, measured, compared and published: the documents without clones."""
+    scratch = scratch_path(spark, "release")
+    previous = table(spark, sf_dir, "documents")
+    edited = F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("\nReviewed.")))
+    distinct = clones.drop_clones(previous, "doc_id", "text")
+    # Several steps read the candidate, so it is a table before they start.
+    candidate = build(distinct.withColumn("text", edited.otherwise(F.col("text"))), f"{scratch}/candidate")
+    plan = Release(
+        name="documents",
+        root=f"{scratch}/published",
+        staging=f"{scratch}/staging",
+        candidate=candidate,
+        previous=previous,
+        keys=["doc_id"],
+        verdicts=verdicts_of(candidate.select("doc_id", "text")),
+        verdict_key="doc_id",
+        gates=[Gate("duplication", clones.duplication(candidate, "doc_id", "text"), "pct", "max_duplicates")],
+        max_invalid_pct=25.0,
+        settings='{"project": {"version": "1.4.2"}, "quality": {"max_duplicates": 99.0}}',
+    )
+    return release(spark, plan)
+
+
 @query(
     "r2_with_code_name",
     f"""

@@ -25,6 +25,12 @@ LIMITS = {
     "max_duplicates": ("$.quality.max_duplicates", "double", MAX_DUPLICATES),
 }
 
+# Settings of the version and the publish step.
+OTHERS = {
+    "version": ("$.project.version", "string", START_VERSION),
+    "skip_existing": ("$.publish.skip_existing", "boolean", False),
+}
+
 
 @dataclass
 class Gate:
@@ -45,7 +51,8 @@ class Release:
 
     ``verdicts`` holds ``(code, message)`` per checked record and ``verdict_key``.
     The published versions under ``root/name`` give the current version, unless
-    ``current_version`` does. ``settings`` is a JSON text of overrides. ``drift`` adds
+    ``current_version`` does; ``project.version`` is the start without either. ``settings``
+    is a JSON text of overrides. ``drift`` adds
     field changes inside records to the column changes found by comparing schemas.
     """
 
@@ -120,18 +127,19 @@ def _validate(spark: SparkSession, plan: Release, found: dict) -> str:
     return f"{seen.failed} of {seen.total} records failed"
 
 
-def quality_limits(spark: SparkSession, settings: str) -> dict[str, float]:
-    """The quality settings; a section of the wrong type is code 101."""
+def release_settings(spark: SparkSession, settings: str) -> dict:
+    """The settings a release reads; a section of the wrong type is code 101."""
+    wanted = {**LIMITS, **OTHERS}
     row = spark.range(1).select(F.lit(settings).alias("settings"))
     checked = section_type_check(row, "settings")
-    seen = settings_lookup(checked, "settings", LIMITS).first()
+    seen = settings_lookup(checked, "settings", wanted).first()
     if seen.code != codes.PASSED:
         raise GateError(seen.code, f"invalid settings: {seen.bad_section or 'not JSON'}")
-    return {name: seen[name] for name in LIMITS}
+    return {name: seen[name] for name in wanted}
 
 
 def _check_quality(spark: SparkSession, plan: Release, found: dict) -> str:
-    limits = quality_limits(spark, plan.settings)
+    found["settings"] = limits = release_settings(spark, plan.settings)
     for number, gate in enumerate(plan.gates, start=1):
         limit = limits[gate.limit] if isinstance(gate.limit, str) else gate.limit
         if limit is None:
@@ -158,7 +166,8 @@ def _analyse_changes(spark: SparkSession, plan: Release, found: dict) -> str:
 
 
 def _next_version(spark: SparkSession, plan: Release, found: dict) -> str:
-    current = plan.current_version or _latest_published(spark, plan)
+    start = found["settings"]["version"] or START_VERSION
+    current = plan.current_version or _latest_published(spark, plan) or start
     bump = found["bump_type"]
     row = spark.range(1).select(F.lit(current).alias("version"), F.lit(bump).alias("bump"))
     seen = bump_versions(row, "version", "bump").first()
@@ -168,13 +177,10 @@ def _next_version(spark: SparkSession, plan: Release, found: dict) -> str:
     return f"{current} -> {seen.next_version}"
 
 
-def _latest_published(spark: SparkSession, plan: Release) -> str:
+def _latest_published(spark: SparkSession, plan: Release) -> str | None:
     versions = published_versions(spark, plan.root, plan.name)
-    if not versions:
-        return START_VERSION
     rows = spark.createDataFrame([(v,) for v in versions], "version string")
-    latest = latest_version(rows, [], "version").first()
-    return latest.version or START_VERSION
+    return latest_version(rows, [], "version").first().version
 
 
 def _publish(spark: SparkSession, plan: Release, found: dict) -> str:
@@ -184,5 +190,9 @@ def _publish(spark: SparkSession, plan: Release, found: dict) -> str:
         built = build(observed, plan.staging)
     except Exception as error:
         raise GateError(codes.BUILD_FAILED, f"build failed: {error}") from error
-    publish(built, plan.root, plan.name, found["version"], replace_unfinished=True)
-    return f"{counted.get['n_rows']} rows as {found['version']}"
+    version, skip = found["version"], bool(found["settings"]["skip_existing"])
+    present = skip and version in published_versions(spark, plan.root, plan.name)
+    publish(built, plan.root, plan.name, version, skip_existing=skip, replace_unfinished=True)
+    if present:
+        return f"{version} is kept as published before"
+    return f"{counted.get['n_rows']} rows as {version}"

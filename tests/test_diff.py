@@ -221,7 +221,7 @@ def test_scorer_failures_cost_only_their_own_rows(spark):
     rows = [(i, "boom" if i % 10 == 3 else f"t{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "i int, t string").repartition(3)
     found = d.score_changes(df, ["i"], "t", scorer)
-    assert found.columns == ["i", "title", "description", "bump_type", "code"]
+    assert found.columns == ["i", "title", "description", "bump_type", "code", "error"]
     assert {r.i: (r.title, r.code) for r in found.collect()} == {
         i: (None, 103) if t == "boom" else (t, 0) for i, t in rows
     }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgate.functions.codes import GateError
-from relgate.operators import diff, gates, overlay, versions
+from relgate.operators import clones, diff, gates, overlay, versions
 from relgate.sources.publish import publish
 
 
@@ -78,3 +78,37 @@ def test_ledger_refuses_text_orders(spark, chunk_rows):
     df = spark.createDataFrame([("e", "x", "major")], "e string, at string, bump string")
     with pytest.raises(TypeError):
         versions.version_ledger(df, "e", "at", "bump", chunk_rows=chunk_rows)
+
+
+def test_scorer_batches_are_halved_to_the_rows_at_fault(spark):
+    def scorer(texts):
+        if (texts == "bad").any():
+            raise ValueError("no score")
+        good = texts[texts != "lost"]
+        return good.map(lambda t: '{"title": "%s", "description": "d", "bump_type": "patch"}' % t)
+
+    rows = [(i, "bad" if i == 7 else "lost" if i == 20 else f"t{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    found = {r.id: r for r in diff.score_changes(df, ["id"], "t", scorer).collect()}
+    assert {i for i, r in found.items() if r.code} == {7, 20}
+    assert found[7].error == "ValueError: no score"
+    assert found[20].error == "ValueError: 0 answers to 1 texts"
+    assert found[3].error is None and found[3].title == "t3"
+
+
+def test_digests_tell_null_empty_and_long_texts_apart(spark):
+    values = [None, "", "a" * 15, "a" * 16, "b" * 40]
+    pairs = [(i * 10 + j, x, y) for i, x in enumerate(values) for j, y in enumerate(values)]
+    df = spark.createDataFrame(pairs, "k int, x string, y string")
+    found = diff.snapshot_diff(df.selectExpr("k", "x AS v"), df.selectExpr("k", "y AS v"), ["k"])
+    assert {r.k for r in found.collect() if r.op == "same"} == {0, 11, 22, 33, 44}
+
+
+def test_drop_clones_keeps_rows_without_text_or_id(spark):
+    rows = [(3, "a"), (1, "a"), (None, "a"), (4, None), (5, None), (6, ""), (7, ""), (8, "b")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for hot_min in (1, 10**9):
+        kept = clones.drop_clones(df, "id", "t", hot_min).collect()
+        assert sorted((r.id for r in kept), key=str) == [1, 4, 5, 6, 8, None]
+        assert clones.exact_clones(spark.createDataFrame(kept, df.schema), "id", "t").filter("id IS NOT NULL AND id <> group_id").isEmpty()
+    assert clones.drop_clones(df.filter("false"), "id", "t").isEmpty()

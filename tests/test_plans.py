@@ -6,7 +6,7 @@ import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
-from relgate.operators import clones, diff, gates, versions
+from relgate.operators import clones, diff, gates, unused, versions
 from relgate.plans.queries import QUERIES
 from relgate.sources.datasets import read_dataset
 
@@ -57,17 +57,24 @@ def test_snapshot_diff_shuffles_each_side_once(spark):
     assert plan.count("ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>") == 2
 
 
-def test_heavy_branch_vanishes_without_heavy_keys(spark):
+@pytest.mark.parametrize("hot_min", [100_000, 2])
+@pytest.mark.parametrize("find", [clones.exact_clones, clones.window_clones])
+def test_clones_read_rows_once_and_count_once(spark, find, hot_min):
     documents = read_dataset(spark, SF_DIR, "documents.parquet")
-
-    def final_plan(hot_min):
-        found = clones.exact_clones(documents, "doc_id", "text", hot_min)
-        found.collect()
-        return plan_of(found).split("Initial Plan")[0]
-
-    assert "Union" not in final_plan(100_000)
-    assert "ReusedExchange" in final_plan(100_000)
-    assert "Union" in final_plan(2)
+    found = find(documents, "doc_id", "text", hot_min=hot_min)
+    found.collect()
+    final = plan_of(found).split("Initial Plan")[0]
+    # Without heavy keys the list is dropped, and only the reuse of its counts is left to see.
+    assert final.count("FileScan") == (2 if hot_min == 2 else 1) and "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_unreferenced_terms_leave_their_task_only_if_defined(spark, limit):
+    defs = read_dataset(spark, SF_DIR, "benchmark.parquet").select("text")
+    refs = read_dataset(spark, SF_DIR, "documents.parquet").select("text")
+    found = unused.unreferenced_terms(defs, "text", refs, "text", broadcast_bytes=limit)
+    assert ("LeftSemi" in plan_of(found)) == (limit > 0)
+    assert sorted(found.collect()) == sorted(unused.unreferenced_terms(defs, "text", refs, "text").collect())
 
 
 def test_total_lines_come_from_the_window_counts(spark):
