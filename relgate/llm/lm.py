@@ -29,6 +29,8 @@ from relgate.llm.common import written
 
 #: Tokens of a chunk, about; a chunk is what one task codes and scores at a time.
 CHUNK_TOKENS = 2_000_000
+#: Tokens of a chunk that are estimated at once.
+SLICE = 250_000
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; larger ones share the last.
 BUCKETS = 32
 #: Held-out estimates are counted in steps of 1/8 of a factor of two; 60 factors at most.
@@ -103,6 +105,12 @@ def coded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, CHUNK)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The chunks of a batch, one in memory at a time."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+
+
 class _Chunk:
     """A chunk's tokens as arrays: ``token`` and its ``context`` by code, ``doc`` by index."""
 
@@ -111,20 +119,26 @@ class _Chunk:
         self.hashes = np.frombuffer(row["vocabulary"], np.uint64)
         self.keys, self.held = row["keys"], np.array(row["held"], bool)
         ends = np.cumsum(sizes + 1) - 1
-        self.token = np.full(int(ends[-1]) + 1, _END, np.int64)
+        self.token = np.full(int(ends[-1]) + 1, _END, np.uint32)
         inner = np.ones(len(self.token), bool)
         inner[ends] = False
         self.token[inner] = np.frombuffer(row["codes"], np.uint32)
-        self.context = np.concatenate([[_START], self.token[:-1]])
+        self.context = np.concatenate([np.array([_START], np.uint32), self.token[:-1]])
         self.context[self.context == _END] = _START
-        self.doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes + 1)
         self.training = ~self.held[self.doc]
         self.sizes = sizes + 1
-        pair = self.context * len(self.hashes) + self.token
-        distinct, self.pair = np.unique(pair, return_inverse=True)
+        pair = self.context.astype(np.int64) * len(self.hashes) + self.token
+        distinct, at = np.unique(pair, return_inverse=True)
+        self.pair = at.astype(np.uint32)
         left, right = np.divmod(distinct, len(self.hashes))
         self.pairs = _pair_hash(self.hashes[left], self.hashes[right])
 
+    def slices(self) -> Iterator[slice]:
+        """Runs of tokens, so that estimates take memory for a run and not for the chunk."""
+        for start in range(0, len(self.token), SLICE):
+            yield slice(start, start + SLICE)
+
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the distinct n-grams, pairs first, and how often training texts hold each."""
         pairs = np.bincount(self.pair, self.training, len(self.pairs))
@@ -137,7 +151,7 @@ def _counts(chunks: DataFrame, parts: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk = _Chunk(row)
                 hashes, counts = chunk.asked()
                 word = np.arange(len(hashes)) >= len(chunk.pairs)
@@ -197,7 +211,7 @@ def _joined(row: dict, parts: int) -> tuple[_Chunk, np.ndarray, np.ndarray, np.n
     pairs, words = counts[: len(chunk.pairs)], counts[len(chunk.pairs) :].copy()
     contexts = words.copy()
     contexts[_START] = words[_END]  # a text has one start and one end
-    return chunk, pairs[chunk.pair], words, contexts
+    return chunk, pairs, words, contexts
 
 
 def bucket(counts: np.ndarray) -> np.ndarray:
@@ -253,23 +267,26 @@ def scored(df: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
     def count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = STEPS * FACTORS + 1
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk, pairs, words, contexts = _joined(row, parts)
-                use = chunk.training
-                c2, c1, h = pairs[use] - 1, words[chunk.token[use]] - 1, contexts[chunk.context[use]] - 1
-                steps = []
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    for top, bottom in ((c2, h), (c1, model.tokens - 1)):
-                        p = np.where(top > 0, top / np.maximum(bottom, 1), 0)
-                        step = np.round(-STEPS * np.log2(p))
-                        steps.append(np.where(np.isfinite(step), np.minimum(step, most), most).astype(np.int64))
-                cell = (bucket(h) * (most + 1) + steps[0]) * (most + 1) + steps[1]
-                cells, n = np.unique(cell, return_counts=True)
-                rest, one = np.divmod(cells, most + 1)
-                b, two = np.divmod(rest, most + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.astype(np.int64)) for x in (b, two, one, n)], names=["b", "two", "one", "n"]
-                )
+                for run in chunk.slices():
+                    use = chunk.training[run]
+                    c2 = pairs[chunk.pair[run][use]] - 1
+                    c1 = words[chunk.token[run][use]] - 1
+                    h = contexts[chunk.context[run][use]] - 1
+                    steps = []
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        for top, bottom in ((c2, h), (c1, model.tokens - 1)):
+                            p = np.where(top > 0, top / np.maximum(bottom, 1), 0)
+                            step = np.round(-STEPS * np.log2(p))
+                            steps.append(np.where(np.isfinite(step), np.minimum(step, most), most).astype(np.int64))
+                    cell = (bucket(h) * (most + 1) + steps[0]) * (most + 1) + steps[1]
+                    cells, n = np.unique(cell, return_counts=True)
+                    rest, one = np.divmod(cells, most + 1)
+                    b, two = np.divmod(rest, most + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x.astype(np.int64)) for x in (b, two, one, n)], names=["b", "two", "one", "n"]
+                    )
 
     steps = joined.mapInArrow(count_steps, "b long, two long, one long, n long")
     # Bounded by the numbers of buckets and steps, not by the corpus.
@@ -278,24 +295,31 @@ def scored(df: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 chunk, pairs, words, contexts = _joined(row, parts)
-                c1, h = words[chunk.token], contexts[chunk.context]
-                w = weights[bucket(h)]
-                p = w[:, 0] * floor + w[:, 1] * c1 / max(model.tokens, 1)
-                p += w[:, 2] * pairs / np.maximum(h, 1)
-                # What an unseen context cannot give goes to the floor.
-                p += np.where(h == 0, w[:, 2], 0) * floor
                 n = len(chunk.sizes)
-                base = np.log10((c1 + 1) / (model.tokens + model.distinct + 1))
+                known, base, total = np.zeros(n), np.zeros(n), np.zeros(n)
+                for run in chunk.slices():
+                    c1, h, doc = words[chunk.token[run]], contexts[chunk.context[run]], chunk.doc[run]
+                    w = weights[bucket(h)]
+                    p = w[:, 0] * floor + w[:, 1] * c1 / max(model.tokens, 1)
+                    p += w[:, 2] * pairs[chunk.pair[run]] / np.maximum(h, 1)
+                    # What an unseen context cannot give goes to the floor.
+                    p += np.where(h == 0, w[:, 2], 0) * floor
+                    # The texts of a run are neighbours.
+                    first, end = int(doc[0]), int(doc[-1]) + 1
+                    doc = doc - doc[0]
+                    known[first:end] += np.bincount(doc, c1 > 0)
+                    base[first:end] += np.bincount(doc, np.log10((c1 + 1) / (model.tokens + model.distinct + 1)))
+                    total[first:end] += np.bincount(doc, np.log10(p))
                 columns = [
                     pa.array(chunk.keys, pa.int64()),
                     pa.array(chunk.held),
                     pa.array(chunk.sizes.astype(np.int64)),
-                    pa.array(np.bincount(chunk.doc, c1 > 0, n).astype(np.int64)),
+                    pa.array(known.astype(np.int64)),
                     pa.array(np.full(n, model.tokens, np.int64)),
-                    pa.array(np.bincount(chunk.doc, base, n)),
-                    pa.array(np.bincount(chunk.doc, np.log10(p), n)),
+                    pa.array(base),
+                    pa.array(total),
                 ]
                 names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
