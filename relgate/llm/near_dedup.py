@@ -8,9 +8,11 @@ candidates. Candidates are confirmed on full shingle sets.
 
 The forest is searched in rounds: first two trees, then all, then all with more neighbours
 and with every pair of a region. A pair that earlier links connect already is not taken
-again, as it cannot change a component; so a large group costs each class a few pairs. In
-groups of more classes than a region holds, a class that is similar to a few others only is
-compared with its nearest neighbours of each tree alone, and can be missed.
+again, as it cannot change a component; so a large group costs each class a few pairs.
+
+Regions of more classes than a region holds are not searched whole. Their classes, the
+crowded ones, are joined exactly at the end: by the prefix filter on their rarest shingles,
+with bounds on sizes and positions, for every pair that is not connected by then.
 """
 
 from __future__ import annotations
@@ -149,13 +151,15 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, f"id long, tree int, {fields}, rest binary")
 
 
-def _regions(classes: DataFrame) -> DataFrame:
+def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``tree, region, above, first, id, rest``: regions of 2 to ``REGION`` classes.
 
     A larger region is left for the next depth. Its ``head``, the smallest id, stays known
     there, so that its parts are still compared through it. What is too large at the last
-    depth agrees in 24 values of the order and is dealt into parts by id.
+    depth agrees in 24 values of the order and is dealt into parts by id. Second, the ``id``
+    of each class of a larger region, for the exact join; None if there is none.
     """
+    crowded = None
     found, rows = [], _prefixes(classes).withColumn("above", F.lit(None).cast("long"))
     for depth in DEPTHS:
         key = f"k{depth}"
@@ -172,6 +176,8 @@ def _regions(classes: DataFrame) -> DataFrame:
             rows = rows.drop("n")
             if rows.isEmpty():
                 break
+        if crowded is None:  # whatever is too large deeper has been too large here
+            crowded = rows.select("id").distinct()
     else:
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / REGION))
         dealt = rows.withColumn("region", F.xxhash64(key, part))
@@ -180,7 +186,7 @@ def _regions(classes: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return written(out, "regions")
+    return written(out, "regions"), crowded if crowded is None else written(crowded, "crowded")
 
 
 def _named(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -250,8 +256,8 @@ def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, close double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar enough."""
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id, shingles`` of the rows whose id is among ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,6 +266,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 [batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"]
             )
 
+    full = docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    return written(full.dropDuplicates(["id"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full shingle sets are similar enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -269,14 +282,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = docs.join(asked, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
-    full = written(full.dropDuplicates(["id"]), "sets")
     sides = [full.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab"]
     rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b")
     return written(rows.mapInArrow(compare, "a long, b long"), "links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _apart(full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every pair of the sets that can be similar enough and is not connected yet.
+
+    Shingles are ordered by the number of sets that hold them. Two sets of a similarity of
+    ``percent`` have their first common shingle early in both. Of the sets that hold it, those
+    of the most frequent component are not compared with each other.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.frombuffer(shingles, np.int64)
+                same = [pa.array(np.full(len(found), v, np.int64)) for v in (id_, len(found))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], names=["id", "n", "shingle"])
+
+    held = written(full.mapInArrow(spread, "id long, n long, shingle long"), "shingles")
+    # A shingle of one set alone links nothing; it only moves the others back.
+    shared = held.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    mine = Window.partitionBy("id", "n")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "shingle"))
+    early = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-6) + 1
+    first = held.join(shared, "shingle").withColumn("place", place).filter(F.col("place") <= early)
+    known = first.select("id", "n", "shingle", "place").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = written(known.withColumn("component", F.coalesce("component", "id")), "prefixes")
+    held_by = known.groupBy("shingle", "component").agg(F.count("*").alias("sets"))
+    most = held_by.groupBy("shingle").agg(
+        F.max_by("component", F.struct("sets", "component")).alias("most"), F.count("*").alias("parts")
+    )
+    mixed = written(known.join(most.filter("parts > 1").drop("parts"), "shingle"), "mixed")
+    sides = [mixed.select("shingle", "most", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "component"))) for s in "xy"]
+    common = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    pairs = sides[0].filter("component_x <> most").join(sides[1].drop("most"), "shingle").filter(
+        (F.col("component_x") != F.col("component_y"))
+        & ((F.col("component_y") == F.col("most")) | (F.col("id_x") < F.col("id_y")))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & ((100 + percent) * common >= percent * (F.col("n_x") + F.col("n_y")))
+    )
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def near_duplicates(
     df: DataFrame, key: str, text: str, words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -295,7 +349,7 @@ def near_duplicates(
         usable.groupBy("digest").agg(F.min_by(F.struct("id", "sig"), "id").alias("r")).select("digest", "r.*"),
         "classes",
     ).select("digest", "id", "sig")
-    regions = _regions(classes)
+    regions, crowded = _regions(classes)
     links = tried = labels = None
     for trees, reach in ROUNDS:
         last = (trees, reach) == ROUNDS[-1]
@@ -319,7 +373,7 @@ def near_duplicates(
                 .distinct()
             )
         close = written(close, "pairs")
-        more = _confirmed(close, docs, words, percent)
+        more = _confirmed(close, _sets(docs, _ends(close), words), percent)
         if labels is not None:  # what is known is a star per component, and soon merged again
             more = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         links = more
@@ -333,7 +387,16 @@ def near_duplicates(
         .filter("a <> b")
         .select("a", "b")
     )
-    final = components(links.unionByName(same_key)).withColumnRenamed("node", "id")
+    final = components(links.unionByName(same_key))
+    if crowded is not None:
+        labels = written(final, "labels")
+        full = _sets(docs, crowded, words)
+        pairs = _apart(full, labels, percent).join(tried, ["a", "b"], "left_anti")
+        more = _confirmed(written(pairs, "pairs"), full, percent)
+        final = components(
+            more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        )
+    final = final.withColumnRenamed("node", "id")
     by_class = classes.select("digest", "id").join(final, "id", "left")
     by_class = by_class.select("digest", F.coalesce("component", "id").alias("component"))
     out = described.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))

@@ -129,6 +129,24 @@ def test_large_groups_of_near_copies(spark, monkeypatch, region):
     assert all(expected[c][1] == expected[i][1] for i, (_, c) in mine.items())
 
 
+@pytest.mark.parametrize("region", [8, 128])
+def test_twins_in_a_crowd_equal_brute_force(spark, monkeypatch, region):
+    """Copies of one text that are too far from each other but for their twins."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    rng, rows = np.random.default_rng(7), []
+    words = [f"w{i}" for i in range(150)]
+    for g in range(150):
+        twin = list(words)
+        twin[rng.integers(5, 145)] = f"t{g}"
+        for _ in range(2):
+            copy = list(twin)
+            copy[rng.integers(5, 145)] = f"r{rng.integers(1 << 30)}"
+            rows.append((len(rows) * 7919 % 10007, " ".join(copy), None, None))
+    found = near_dedup.near_duplicates(frame(spark, rows), "doc_id", "text")
+    expected = brute.near_texts({r[0]: r[1] for r in rows}, 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+
+
 def test_language_model(docs):
     found = lm.scored(docs, "doc_id", "text", F.coalesce(F.col("doc_id") == 9, F.lit(False)))
     assert keys(found) == all_keys(docs)
