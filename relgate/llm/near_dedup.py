@@ -156,7 +156,8 @@ def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     A larger region is left for the next depth. Its ``head``, the smallest id, stays known
     there, so that its parts are still compared through it. What is too large at the last
-    depth agrees in 24 values of the order and is dealt into parts by id. Second, the ``id``
+    depth agrees in 24 values of the order and is dealt into parts, in each tree by another
+    hash of the id. Second, the ``id``
     of each class of a larger region, for the exact join; None if there is none.
     """
     crowded = None
@@ -179,7 +180,7 @@ def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if crowded is None:  # whatever is too large deeper has been too large here
             crowded = rows.select("id").distinct()
     else:
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / REGION))
+        part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / REGION))
         dealt = rows.withColumn("region", F.xxhash64(key, part))
         firsts = dealt.groupBy("region").agg(F.min("id").alias("first"))
         found.append(dealt.join(firsts, "region").select("tree", "region", "above", "first", "id", "rest"))

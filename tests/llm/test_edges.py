@@ -147,6 +147,25 @@ def test_twins_in_a_crowd_equal_brute_force(spark, monkeypatch, region):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
 
 
+def test_links_between_dealt_parts(spark, monkeypatch):
+    """Texts that agree at the last depth are dealt into parts; links between parts stay."""
+    monkeypatch.setattr(near_dedup, "REGION", 2)
+    monkeypatch.setattr(near_dedup, "DEPTHS", (1, 7))
+    rng, rows = np.random.default_rng(9), []
+    words = [f"w{i}" for i in range(150)]
+    for g in range(40):
+        twin = list(words)
+        twin[5 + 7 * (g % 20)] = f"t{g}"
+        for _ in range(2):
+            copy = list(twin)
+            copy[5 + 7 * ((g + 5) % 20)] = f"r{rng.integers(1 << 30)}"
+            copy[5 + 7 * ((g + 10) % 20)] = f"q{g}"
+            rows.append((len(rows) * 7919 % 10007, " ".join(copy), None, None))
+    found = near_dedup.near_duplicates(frame(spark, rows), "doc_id", "text")
+    expected = brute.near_texts({r[0]: r[1] for r in rows}, 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+
+
 def test_language_model(docs):
     found = lm.scored(docs, "doc_id", "text", F.coalesce(F.col("doc_id") == 9, F.lit(False)))
     assert keys(found) == all_keys(docs)
