@@ -258,21 +258,23 @@ def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id, shingles`` of the rows whose id is among ``ids``."""
+    """``id, digest, shingles`` of the rows whose id is among ``ids``: all sets of an id, each once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            digests = [blake2b(f, digest_size=16).digest() if f else None for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"]
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.binary())],
+                names=["id", "digest", "shingles"],
             )
 
-    full = docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
-    return written(full.dropDuplicates(["id"]), "sets")
+    full = docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, digest binary, shingles binary")
+    return written(full.filter("digest is not null").dropDuplicates(["id", "digest"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar enough."""
+    """The pairs ``a, b`` of which some full shingle sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +287,7 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     sides = [full.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab"]
     rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b")
-    return written(rows.mapInArrow(compare, "a long, b long"), "links")
+    return written(rows.mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -302,15 +304,18 @@ def _apart(full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for id_, digest, shingles in zip(*(c.to_pylist() for c in batch.columns)):
                 found = np.frombuffer(shingles, np.int64)
                 same = [pa.array(np.full(len(found), v, np.int64)) for v in (id_, len(found))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], names=["id", "n", "shingle"])
+                digests = pa.array([digest] * len(found), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*same, digests, pa.array(found)], names=["id", "n", "digest", "shingle"]
+                )
 
-    held = written(full.mapInArrow(spread, "id long, n long, shingle long"), "shingles")
+    held = written(full.mapInArrow(spread, "id long, n long, digest binary, shingle long"), "shingles")
     # A shingle of one set alone links nothing; it only moves the others back.
     shared = held.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
-    mine = Window.partitionBy("id", "n")
+    mine = Window.partitionBy("id", "n", "digest")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "shingle"))
     early = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-6) + 1
     first = held.join(shared, "shingle").withColumn("place", place).filter(F.col("place") <= early)
@@ -382,11 +387,10 @@ def near_duplicates(
         if not last:
             labels = written(components(links), "labels")
     same_key = (
-        usable.join(classes.select("digest", F.col("id").alias("class")), "digest")
-        .groupBy("id")
-        .agg(F.min("class").alias("a"), F.max("class").alias("b"))
-        .filter("a <> b")
-        .select("a", "b")
+        usable.join(classes.select("digest", F.col("id").alias("a")), "digest")
+        .filter("a <> id")
+        .select("a", F.col("id").alias("b"))
+        .distinct()
     )
     final = components(links.unionByName(same_key))
     if crowded is not None:

@@ -166,6 +166,17 @@ def test_links_between_dealt_parts(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
 
 
+def test_texts_of_a_repeated_key(spark):
+    """Each text of a key is linked, whichever comes first."""
+    texts = {t: [f"{t}{i}" for i in range(60)] for t in "abcde"}
+    rows = [(5, " ".join(texts["a"])), (5, " ".join(texts["b"])), (5, None)]
+    rows += [(7, " ".join([*texts["a"], "x"])), (9, " ".join([*texts["b"], "x"]))]
+    rows += [(20 + i, " ".join(texts[t])) for i, t in enumerate("cde")] + [(30, " ".join(texts[t])) for t in "cde"]
+    found = near_dedup.near_duplicates(frame(spark, [(*r, None, None) for r in rows]), "doc_id", "text")
+    expected = {5: 5, 7: 5, 9: 5, 20: 20, 21: 20, 22: 20, 30: 20}
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == set(expected.items())
+
+
 def test_language_model(docs):
     found = lm.scored(docs, "doc_id", "text", F.coalesce(F.col("doc_id") == 9, F.lit(False)))
     assert keys(found) == all_keys(docs)
