@@ -22,6 +22,8 @@ from relgate.llm.common import WORD, written
 BITS, ALL_BITS = 8, 56
 #: A boundary bucket of at most so many documents is not refined any further.
 FEW = 512
+#: Rows of a repeated key that one row of a written count stands for.
+RUN = 10_000
 
 
 def sized(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -148,7 +150,8 @@ def mix(
     budget are taken in hash order, so a source misses its target by less than its smallest
     left-out document there. A null source is a source of its own, the last; a null text
     has size 0; rows that repeat a key share its place and are taken or left alike, except
-    in the boundary bucket; other columns are dropped; an empty table gives no rows.
+    in the boundary bucket; where more than ``FEW`` rows share one place, as those of a repeated
+    or null key do, as many as fit are taken, short ones first; other columns are dropped; an empty table gives no rows.
     """
     key_type = df.schema[key].dataType.simpleString()
     sizes = written(sized(df, key, source, text), "mix-sizes")
@@ -157,10 +160,11 @@ def mix(
     rows = sizes.join(known, F.col("source").eqNullSafe(F.col("known")), "left").drop("known")
     shift = F.lit(ALL_BITS) - F.col("bits")
     bucket_end = F.expr(f"low + shiftleft(1L, {ALL_BITS} - bits)")
-    boundary = (F.col("place") >= F.col("low")) & (F.col("place") < bucket_end) & (F.col("few") <= FEW)
-    boundary = boundary & (F.col("few") > 0) & (shift >= 0)
+    inside = (F.col("place") >= F.col("low")) & (F.col("place") < bucket_end)
+    inside = inside & (F.col("few") > 0) & (shift >= 0)
+    boundary = inside & (F.col("few") <= FEW)
     base = F.col("passes") * F.col("size")
-    plain = rows.filter(~boundary).select(
+    plain = rows.filter(~inside).select(
         "key", "source", "size", "source_size", "target",
         (base + F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0)).alias("taken"),
     )
@@ -182,4 +186,28 @@ def mix(
             f"key {key_type}, source string, size long, source_size long, target double, taken long",
         )
     )
+    # Beyond FEW rows all bits are used up: rows of equal key and size are counted, not listed.
+    counts = rows.filter(inside & (F.col("few") > FEW)).groupBy(
+        "source", "size", "key", "source_size", "target", "passes", "budget"
+    ).agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("source").orderBy("size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("budget") - F.coalesce(F.sum(F.col("size") * F.col("rows")).over(before), F.lit(0))
+    fit = F.least("rows", F.greatest(F.lit(0).cast("long"), F.floor(left / F.greatest("size", F.lit(1)))))
+    split = counts.withColumn("fit", fit.cast("long")).select(
+        "key", "source", "size", "source_size", "target",
+        F.explode(
+            F.array(
+                F.struct(F.col("fit").alias("rows"), (F.col("passes") + 1).alias("times")),
+                F.struct((F.col("rows") - F.col("fit")).alias("rows"), F.col("passes").alias("times")),
+            )
+        ).alias("part"),
+    )
+    one = F.lit(1).cast("long")
+    runs = split.filter("part.rows > 0").withColumn("start", F.explode(F.sequence(one, "part.rows", F.lit(RUN).cast("long"))))
+    crowd = runs.repartition("key", "source", "size", "start").select(
+        "key", "source", "size", "source_size", "target",
+        (F.col("size") * F.col("part.times")).alias("taken"),
+        F.explode(F.sequence("start", F.least(F.col("start") + RUN - 1, F.col("part.rows")))).alias("row"),
+    )
+    filled = filled.unionByName(crowd.drop("row"))
     return plain.unionByName(filled).withColumnsRenamed({"key": key, "source": source})

@@ -207,6 +207,18 @@ def test_mixing_refines_boundaries(spark, monkeypatch):
     assert len(found) == 900
 
 
+def test_mixing_fills_a_repeated_key(spark, monkeypatch):
+    """A third of a source without keys is filled as far as the budget goes."""
+    monkeypatch.setattr(mixing, "FEW", 4)
+    rows = [(i if i % 3 else None, "a " * (1 + i % 13), None, f"s{i % 2}") for i in range(900)]
+    rows += [(5000, "a " * (1 + i % 7), None, "s2") for i in range(300)]
+    found = mixing.mix(frame(spark, rows), "doc_id", "source", "text").toPandas()
+    assert len(found) == 1200
+    for source, part in found.groupby("source"):
+        assert -0.5 <= part.target.iloc[0] - part.taken.sum() + 0.5 <= 14, source
+        assert part["size"].sum() == sum(len(r[1].split()) for r in rows if r[3] == source)
+
+
 VECTORS = [
     (1, [1.0, 0.0, 0.0], 1), (2, [2.0, 0.0, 0.0], 1), (3, [1.0, 0.01, 0.0], 1), (4, [1.0, 0.0, 0.0], 2),
     (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [float("nan"), 1.0, 0.0], 1), (8, [1.0, None, 0.0], 1),
