@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from relgate.llm.common import written
 
-ROUNDS = 60
-
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links`` (``a``, ``b``, comparable ids).
@@ -23,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
         "links",
     )
     before = None
-    for _ in range(ROUNDS):
+    while True:  # every round makes ends smaller or removes links, until nothing changes
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relgate.llm import ann, embed_dedup, langid, lm, mixing, near_dedup, packing, pii, quality, toxicity
+from relgate.llm import ann, components, embed_dedup, langid, lm, mixing, near_dedup, packing, pii, quality, toxicity
 from relgate.llm.queries import TOKENIZER
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000)) + " write to a.b@c.de"
@@ -177,6 +177,13 @@ def test_texts_of_a_repeated_key(spark):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == set(expected.items())
 
 
+def test_components_settle(spark, monkeypatch):
+    """No bound on rounds ends the search early."""
+    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r.node, r.component) for r in components.components(links).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_language_model(docs):
     found = lm.scored(docs, "doc_id", "text", F.coalesce(F.col("doc_id") == 9, F.lit(False)))
     assert keys(found) == all_keys(docs)
