@@ -9,10 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgate.llm import ann, embed_dedup, langid, lm, mixing, near_dedup, packing, pii, quality, toxicity
-from relgate.llm.common import fold, read
+from relgate.llm import (
+    ann, embed_dedup, langid, lexical, lm, mixing, near_dedup, packing, pii, prefix_trie, quality, token_counts,
+    toxicity,
+)
+from relgate.llm.common import fold, read, written
+from relgate.llm.sql import LEXICAL_SEARCH, PREFIX_TRIE
 
 TOKENIZER = "word_bpe_49k.json"
+COUNTED = "piece_bpe_32k.model"
 
 
 def op1_pii(spark, sf_dir) -> DataFrame:
@@ -84,12 +89,33 @@ def op10_language(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-#: None of them has SQL: automata, hashes of Python, trained models, trees and packing have no
-#: counterpart in it. tests/llm holds each against a brute-force version.
+def op11_lexical_search(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    items = read(spark, sf_dir, "benchmark", "item_id", "text")
+    return lexical.ranked_search(docs, "doc_id", "text", items, "item_id", "text", k=50)
+
+
+def op12_token_counts(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    vocabulary = token_counts.load(public_tokenizers.path(COUNTED))
+    return token_counts.count_tokens(docs, "doc_id", "text", vocabulary, limit=4096)
+
+
+def op13_prefix_trie(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    turns = written(prefix_trie.numbered(rows, "conv_id", "turn", "role", "text"), "numbered")
+    convs = written(turns.select("conv").distinct(), "convs")
+    return prefix_trie.prefix_trie(prefix_trie.grafted(turns, convs), convs)
+
+
+#: The others have no SQL: automata, hashes of Python, trained models, trees and packing have no
+#: counterpart in it. tests/llm holds them against plain versions or held-out labels.
+SQL = {"op11_lexical_search": LEXICAL_SEARCH, "op13_prefix_trie": PREFIX_TRIE}
 QUERIES = {
-    run.__name__: (run, None)
+    run.__name__: (run, SQL.get(run.__name__))
     for run in (
         op1_pii, op2_toxicity, op3_packing, op4_near_dedup, op5_lm_scores, op6_embedding_dedup,
-        op7_mixing, op8_quality, op9_nearest, op10_language,
+        op7_mixing, op8_quality, op9_nearest, op10_language, op11_lexical_search,
+        op12_token_counts, op13_prefix_trie,
     )
 }
