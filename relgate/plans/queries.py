@@ -24,7 +24,7 @@ from relgate.functions.settings import (
     REQUIRED_FIELDS,
 )
 from relgate.functions.text import lines_of
-from relgate.operators import clones, diff, gates, overlay, unused, validate, versions
+from relgate.operators import clones, diff, gates, overlay, similar, unused, validate, versions
 from relgate.plans.release import Gate, Release, release
 from relgate.session import scratch_path
 from relgate.sources.datasets import parse_report, read_dataset, to_lines
@@ -412,6 +412,43 @@ def exact_clones_query(spark, sf_dir):
     return clones.exact_clones(documents, "doc_id", "text")
 
 
+NEAR_DUPLICATES_SQL = """
+    WITH words AS (
+      SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x09-\\x0D ]+'),
+                                 lambda w: w <> '') AS w
+      FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                                                    lambda i: w[i:i + 4])) AS s
+      FROM words WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+      SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+      FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (
+      SELECT a, b, c = x.n AND c = y.n AS equal
+      FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 10 * c >= 7 * (x.n + y.n - c))
+    SELECT doc_id, coalesce(least(doc_id, min(b) FILTER (WHERE equal)), doc_id) AS class_id,
+           count(b)::BIGINT AS n_links,
+           doc_id <= coalesce(min(b) FILTER (WHERE equal), doc_id) AS representative
+    FROM documents LEFT JOIN links ON a = doc_id GROUP BY doc_id
+"""
+
+
+@query("q9_near_duplicates", NEAR_DUPLICATES_SQL)
+def near_duplicates_query(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return similar.near_duplicates(documents, "doc_id", "text")
+
+
+@query("q9b_near_duplicates_banded")
+def near_duplicates_banded_query(spark, sf_dir):
+    """Approximate, so without SQL; its links are a part of those of the exact query."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return similar.near_duplicates_banded(documents, "doc_id", "text")
+
+
 @query(
     "q10_drop_clones",
     """

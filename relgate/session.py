@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +18,8 @@ SQL_SETTINGS = {
     "spark.sql.broadcastTimeout": "7200",
 }
 
+_scope: ContextVar[str | None] = ContextVar("scratch scope", default=None)
+
 
 def build_session(app: str, master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings the operators are designed for."""
@@ -26,15 +31,50 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the folder the cluster shares for checkpoints.
-
-    Without ``spark.checkpoint.dir`` a local temporary folder is made, and only
-    in local mode, where driver and executors are one machine.
-    """
+def _shared_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="relgate-")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A new folder name under the folder the cluster shares for checkpoints.
+
+    Without ``spark.checkpoint.dir`` a local temporary folder is made, and only
+    in local mode, where driver and executors are one machine. Inside ``scratch_scope``
+    the name is below the scope's folder and goes with it.
+    """
+    return f"{_scope.get() or _shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """A run's own scratch folder, deleted when the run ends, by an error too.
+
+    Results that read scratch tables have to be consumed or written elsewhere before. Scopes
+    can be nested; each deletes what was made in it. A run that is killed leaves its folder,
+    named ``run-`` and unique, so that it can be told from those of other runs.
+    """
+    folder = scratch_path(spark, "run")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        delete_folder(spark, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder and what is in it, in whatever store it lies; no folder is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a scratch table: read again where it is used more than once, not computed again."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
