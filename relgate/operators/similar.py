@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relgate.functions.text import digest, words_of
+from relgate.functions.text import words_of
 from relgate.operators.skew import join_key_stats
 from relgate.session import written
 
@@ -20,8 +20,8 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 96, 65_536
 GRID = 256
 #: Rows of one join key from which they are spread.
 HOT_ROWS = 2_000
-#: Minhash bands and the values of each: at a similarity of 0.7 a pair is missed with 0.4 %.
-BANDS, BAND_VALUES = 20, 4
+#: Minhash bands and the values of each: at a similarity of 0.7 a pair is missed with 1.5 %.
+BANDS, BAND_VALUES = 10, 3
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
@@ -29,28 +29,25 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int = SHING
 
     Words are lower-cased and stand between white space. A text of fewer words than a
     shingle is one shingle; a null text, or one without words, has none, and no class. Equal sets are
-    of one class, a digest of the set.
+    of one class, a digest of the set in 128 bits.
     """
     words = df.select(
         F.col(id_col).alias("id"),
-        F.filter(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: w != "").alias("words"),
+        F.array_remove(words_of(F.coalesce(F.col(text_col), F.lit(""))), "").alias("words"),
     )
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - shingle + 1, F.lit(1)))
     hashed = F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, shingle)))
     none = F.array().cast("array<bigint>")
-    found = words.select("id", F.when(F.size("words") > 0, F.array_sort(F.array_distinct(hashed))).otherwise(none).alias("shingles"))
-    listed = F.array_join(F.transform("shingles", lambda s: s.cast("string")), ",")
+    found = words.select("id", F.when(F.size("words") > 0, F.sort_array(F.array_distinct(hashed))).otherwise(none).alias("shingles"))
     n = F.size("shingles").cast("bigint")
-    return found.select("id", n.alias("n"), "shingles", F.when(n > 0, digest(listed)).alias("class"))
+    halves = (F.hex(F.xxhash64(F.lit(i), "shingles")) for i in (1, 2))
+    return found.select("id", n.alias("n"), "shingles", F.when(n > 0, F.concat_ws("-", *halves)).alias("class"))
 
 
-def _classes(sets: DataFrame) -> DataFrame:
-    """``class, class_id, members, n, shingles``: one row per distinct set."""
+def _names(sets: DataFrame, *more: str) -> DataFrame:
+    """``class, class_id, members, n``: one row per distinct set, and ``more`` of what its members share."""
     return sets.filter("n > 0").groupBy("class").agg(
-        F.min("id").alias("class_id"),
-        F.count("*").alias("members"),
-        F.any_value("n").alias("n"),
-        F.any_value("shingles").alias("shingles"),
+        F.min("id").alias("class_id"), F.count("*").alias("members"), *(F.any_value(c).alias(c) for c in ("n", *more))
     )
 
 
@@ -72,18 +69,18 @@ def _prefix_postings(classes: DataFrame, threshold: tuple[int, int], hot: int) -
     return early.select("class", "n", "key", (F.col("n") - F.col("place")).alias("rest"))
 
 
-def _band_postings(classes: DataFrame, bands: int, values: int) -> DataFrame:
-    """``class, n, key, rest``: one key per band of the set's minhash signature."""
+def _band_keys(bands: int, values: int) -> Column:
+    """One key per band of the minhash signature of ``shingles``."""
     places = F.sequence(F.lit(1), F.lit(bands * values))
     signature = F.transform(places, lambda i: F.array_min(F.transform("shingles", lambda s: F.xxhash64(i, s))))
-    signed = classes.select("class", "n", signature.alias("signature"))
-    keys = F.array(
-        *(F.xxhash64(F.lit(b), F.slice("signature", b * values + 1, values)) for b in range(bands))
+    band = F.sequence(F.lit(0), F.lit(bands - 1))
+    # The signature is bound once: each band would work it out again.
+    return F.get(
+        F.transform(F.array(signature), lambda x: F.transform(band, lambda b: F.xxhash64(b, F.slice(x, b * values + 1, values)))), F.lit(0)
     )
-    return signed.select("class", "n", F.explode(keys).alias("key"), F.col("n").alias("rest"))
 
 
-def _blocks(classes: DataFrame, live: DataFrame, hot_posting: int, hot: int) -> DataFrame:
+def _blocks(live: DataFrame, hot_posting: int, hot: int) -> DataFrame:
     """``class, block`` of every class in ``live`` postings.
 
     A class of a hot posting lies in a block with others of its hottest one; any other is
@@ -133,20 +130,24 @@ def _block_pairs(live: DataFrame, blocks: DataFrame, threshold: tuple[int, int],
     return pairs.select(F.col("block_a").alias("a"), F.col("block_b").alias("b")).unionByName(within).distinct()
 
 
-def _link_counts(classes: DataFrame, postings: DataFrame, threshold: tuple[int, int], hot_posting: int, grid: int, hot: int) -> DataFrame:
+def _link_counts(sets: DataFrame, names: DataFrame, postings: DataFrame, threshold: tuple[int, int], hot_posting: int, grid: int, hot: int) -> DataFrame:
     """``class, links``: the records that each class is linked with, itself left out.
 
-    Candidates are classes that share a posting. Every pair is compared once, on whole
+    ``postings`` has ``class, n, key, rest``; candidates are classes that share a key. Every pair is compared once, on whole
     sets, where its two blocks meet; only sums leave the row of two blocks.
     """
     num, den = threshold
     postings = written(postings, "postings")
     sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     live = written(join_key_stats(postings, sizes, "key", "size", hot), "live")
-    blocks = written(_blocks(classes, live, hot_posting, hot), "blocks")
+    blocks = written(_blocks(live, hot_posting, hot), "blocks")
     pairs = written(_block_pairs(live, blocks, threshold, grid), "pairs")
     entry = F.struct("class", "n", "members", "shingles")
-    held = classes.join(blocks, "class").groupBy("block").agg(F.collect_list(entry).alias("held"))
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()
+    wanted = written(blocks.join(paired, "block", "left_semi").join(names.select("class", "members"), "class"), "wanted")
+    alike = sets.join(wanted.select("class"), "class", "left_semi").groupBy("class")
+    alike = alike.agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles"))
+    held = alike.join(wanted, "class").groupBy("block").agg(F.collect_list(entry).alias("held"))  # a block is bounded
     held = written(held, "held")
     rows = pairs.join(held.select(F.col("block").alias("a"), F.col("held").alias("x")), "a")
     rows = rows.join(held.select(F.col("block").alias("b"), F.col("held").alias("y")), "b")
@@ -175,8 +176,8 @@ def _link_counts(classes: DataFrame, postings: DataFrame, threshold: tuple[int,
     return sums.select("e.*").filter("links > 0").groupBy("class").agg(F.sum("links").alias("links"))
 
 
-def _answer(sets: DataFrame, classes: DataFrame, links: DataFrame, id_col: str, hot: int) -> DataFrame:
-    known = classes.select("class", "class_id", "members").join(links, "class", "left")
+def _answer(sets: DataFrame, names: DataFrame, links: DataFrame, id_col: str, hot: int) -> DataFrame:
+    known = names.select("class", "class_id", "members").join(links, "class", "left")
     met = join_key_stats(sets.select("id", "class"), known, "class", "members", hot)
     alone = sets.filter("class is null").select(
         "id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
@@ -210,9 +211,10 @@ def near_duplicates(
     class are never paired, and pairs of different sets never leave the row they are compared in.
     """
     sets = written(shingle_sets(df, id_col, text_col, shingle), "sets")
-    classes = written(_classes(sets), "classes")
-    postings = _prefix_postings(classes, threshold, hot)
-    return _answer(sets, classes, _link_counts(classes, postings, threshold, hot_posting, grid, hot), id_col, hot)
+    names = written(_names(sets, "shingles"), "names")
+    postings = _prefix_postings(names, threshold, hot)
+    links = _link_counts(sets, names, postings, threshold, hot_posting, grid, hot)
+    return _answer(sets, names, links, id_col, hot)
 
 
 def near_duplicates_banded(
@@ -232,7 +234,8 @@ def near_duplicates_banded(
     Every link that is counted was checked on whole sets, so ``n_links`` is never too high.
     No shingle is shuffled: a set sends ``bands`` keys.
     """
-    sets = written(shingle_sets(df, id_col, text_col, shingle), "sets")
-    classes = written(_classes(sets), "classes")
-    postings = _band_postings(classes, bands, values)
-    return _answer(sets, classes, _link_counts(classes, postings, threshold, hot_posting, grid, hot), id_col, hot)
+    sets = written(shingle_sets(df, id_col, text_col, shingle).withColumn("keys", _band_keys(bands, values)), "sets")
+    names = written(_names(sets, "keys"), "names")
+    postings = names.select("class", "n", F.explode("keys").alias("key"), F.col("n").alias("rest"))
+    links = _link_counts(sets, names, postings, threshold, hot_posting, grid, hot)
+    return _answer(sets, names, links, id_col, hot)

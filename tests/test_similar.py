@@ -124,11 +124,11 @@ def test_no_python_and_no_cross_join(spark):
     df = spark.createDataFrame(texts(random.Random(1), 20), "id long, text string")
     with scratch_scope(spark):
         sets = similar.shingle_sets(df, "id", "text")
-        classes = similar._classes(sets)
+        names = similar._names(sets, "shingles")
         for frame in (
             sets,
-            similar._prefix_postings(classes, similar.THRESHOLD, 2),
-            similar._band_postings(classes, 20, 4),
+            similar._prefix_postings(names, similar.THRESHOLD, 2),
+            sets.withColumn("keys", similar._band_keys(10, 3)),
             similar.near_duplicates(df, "id", "text"),
         ):
             plan = frame._jdf.queryExecution().executedPlan().toString()
