@@ -29,6 +29,9 @@ from relgate.plans.release import Gate, Release, release
 from relgate.session import scratch_path
 from relgate.sources.datasets import parse_report, read_dataset, to_lines
 from relgate.sources.publish import build, new_rows, publish, read_built
+from relgate.streaming.streams import append_to, stream_dataset
+from relgate.streaming.validation import judged_records, split_stream
+from relgate.streaming.windows import windowed_gate, without_repeats
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -1505,3 +1508,53 @@ def release_documents_query(spark, sf_dir):
 )
 def with_code_name_query(spark, sf_dir):
     return with_code_name(text_verdicts(spark, sf_dir).select("doc_id", "code"))
+
+
+# --- streams ---------------------------------------------------------------------
+
+
+@query("x1_streaming_validation", f"SELECT *, CASE code WHEN 0 THEN 'good' ELSE 'reject' END AS outcome FROM ({TEXT_VERDICTS_SQL})")
+def streaming_validation_query(spark, sf_dir):
+    """The verdicts of the documents, judged as a stream of files in batches of at most 16."""
+    scratch = scratch_path(spark, "validation")
+    documents = stream_dataset(spark, f"{sf_dir}/documents.parquet", files_per_batch=16)
+
+    def judge(batch: DataFrame) -> DataFrame:
+        return verdicts_of(batch.select("doc_id", "text", "source"), "source")
+
+    split_stream(documents, judge, f"{scratch}/judged", f"{scratch}/checkpoint")
+    schema = verdicts_of(table(spark, sf_dir, "documents", "doc_id", "text", "source"), "source").schema
+    return judged_records(spark, f"{scratch}/judged", schema)
+
+
+EVENTS_PER_DAY = 100
+
+
+@query(
+    "x2_windowed_gate",
+    f"""
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n_rows,
+           count(*) > {EVENTS_PER_DAY} AS failed, CASE WHEN count(*) > {EVENTS_PER_DAY} THEN 102 ELSE 0 END AS code
+    FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+    GROUP BY ALL
+    """,
+)
+def windowed_gate_query(spark, sf_dir):
+    """Events per day and type, for the days that the stream has closed."""
+    scratch = scratch_path(spark, "windows")
+    events = stream_dataset(spark, f"{sf_dir}/events.parquet").select("ts", "event_type")
+    gate = windowed_gate(events, "ts", ["event_type"], EVENTS_PER_DAY)
+    append_to(gate, f"{scratch}/closed", f"{scratch}/checkpoint")
+    closed = spark.read.schema(gate.schema).parquet(f"{scratch}/closed")
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_rows", "failed", "code")
+
+
+@query("x3_streaming_deduplication", "SELECT event_id, user_id, event_type, value FROM events")
+def streaming_deduplication_query(spark, sf_dir):
+    """The events without repeats, from a stream that brings each of them twice."""
+    scratch = scratch_path(spark, "repeats")
+    events = stream_dataset(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    once = without_repeats(events.unionByName(events), ["event_id"], "ts")
+    append_to(once, f"{scratch}/once", f"{scratch}/checkpoint")
+    return spark.read.schema(once.schema).parquet(f"{scratch}/once").drop("ts")
