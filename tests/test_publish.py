@@ -1,8 +1,14 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
 import pytest
 
+from relgate import session
 from relgate.functions.codes import GateError
 from relgate.operators.skew import heavy_hitters
 from relgate.plans.release import Gate, Release, release
+from relgate.plans.queries import QUERIES
 from relgate.session import scratch_path
 from relgate.sources import publish as p
 from relgate.sources.datasets import read_dataset
@@ -48,6 +54,104 @@ def test_an_unfinished_version_can_be_replaced(spark, tmp_path):
         p.publish(frame(spark, 7), root, "d", "1.0.0", replace_unfinished=True)
 
 
+def names(path):
+    return sorted(f.name for f in path.iterdir()) if path.exists() else []
+
+
+def test_one_of_several_writers_publishes_a_version(spark, tmp_path):
+    root, writers = str(tmp_path), 6
+    start = threading.Barrier(writers)
+
+    def write(tag):
+        start.wait()
+        try:
+            return p.publish(frame(spark, 50, tag).repartition(4), root, "d", "1.0.0").select("v").distinct().collect()
+        except GateError as error:
+            return error.code
+
+    with ThreadPoolExecutor(writers) as pool:
+        results = list(pool.map(write, "abcdef"))
+    won = [r for r in results if r != 106]
+    assert len(won) == 1 and len(results) == writers
+    kept = read_dataset(spark, root, "d", "1.0.0")
+    assert kept.count() == 50 and kept.select("v").distinct().collect() == won[0]
+    assert names(tmp_path / "d/_runs") == [] and names(tmp_path / "d/_claims") in (["version=1.0.0"], [".version=1.0.0.crc", "version=1.0.0"])
+
+
+def test_a_second_writer_that_may_skip_reads_the_first_ones_rows(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    claim = p._claim
+
+    def late(spark, path, run):  # another writer is faster by a moment
+        assert claim(spark, path, "other")
+        return claim(spark, path, run)
+
+    frame(spark, 3, "other").write.parquet(f"{root}/d/_runs/other")
+    monkeypatch.setattr(p, "_claim", late)
+    kept = p.publish(frame(spark, 9), root, "d", "1.0.0", skip_existing=True)
+    assert kept.select("v").distinct().first().v == "other" and kept.count() == 3
+    assert names(tmp_path / "d/_runs") == []
+
+
+def test_a_claim_publishes_even_if_its_writer_is_lost(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    with monkeypatch.context() as lost:
+        lost.setattr(p, "_settle", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            p.publish(frame(spark, 5), root, "d", "1.0.0")
+    assert p.published_versions(spark, root, "d") == ["1.0.0"]
+    with pytest.raises(GateError):
+        p.publish(frame(spark, 7), root, "d", "1.0.0", replace_unfinished=True)
+    assert p.read_version(spark, root, "d", "1.0.0").count() == 5
+    assert p.publish(frame(spark, 7), root, "d", "1.0.0", skip_existing=True).count() == 5
+
+
+def test_a_writer_lost_before_its_claim_has_published_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    with monkeypatch.context() as lost:
+        lost.setattr(p, "_claim", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            p.publish(frame(spark, 5), root, "d", "1.0.0")
+    assert p.published_versions(spark, root, "d") == []
+    assert p.publish(frame(spark, 7), root, "d", "1.0.0").count() == 7
+    assert read_dataset(spark, root, "d").count() == 7
+
+
+def test_a_finished_folder_without_a_claim_is_not_replaced(spark, tmp_path):
+    root = str(tmp_path)
+    frame(spark, 4).write.parquet(f"{root}/d/version=1.0.0")
+    assert p.published_versions(spark, root, "d") == ["1.0.0"]
+    with pytest.raises(GateError):
+        p.publish(frame(spark, 7), root, "d", "1.0.0", replace_unfinished=True)
+    assert p.publish(frame(spark, 7), root, "d", "1.0.0", skip_existing=True).count() == 4
+
+
+def test_scratch_goes_with_its_run(spark, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(session, "_shared_folder", lambda _: str(shared))
+    with session.scratch_scope(spark) as outer:
+        kept = session.written(frame(spark, 3), "kept")
+        with pytest.raises(RuntimeError):
+            with session.scratch_scope(spark) as inner:
+                session.written(frame(spark, 5), "gone")
+                assert inner.startswith(outer) and len(list(Path(inner).iterdir())) == 1
+                raise RuntimeError
+        assert not Path(inner).exists() and kept.count() == 3
+        assert scratch_path(spark, "x").startswith(outer)
+    assert names(shared) == []
+    assert not scratch_path(spark, "x").startswith(outer)
+
+
+def test_a_query_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(session, "_shared_folder", lambda _: str(shared))
+    with session.scratch_scope(spark):
+        for name in ("p1_build", "p3_publish", "q9_near_duplicates", "r1_release_published", "x2_windowed_gate"):
+            assert QUERIES[name][0](spark, "/root/testdata/sf0.001").count() > 0
+        assert len(list(shared.rglob("*.parquet"))) > 20
+    assert names(shared) == []
+
+
 def test_new_rows(spark):
     found = p.new_rows(frame(spark, 6), frame(spark, 4, "b"), ["k"])
     assert sorted(r.k for r in found.collect()) == [4, 5]
