@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,8 @@ from relgate.functions.text import digest, lines_of
 from relgate.operators.skew import HOT_MIN, join_key_stats
 
 RECORD_FIELDS = ("title", "description", "bump_type")
+#: Types of a fixed width: an aggregate keeps their values in its hash table.
+FIXED = r"(tinyint|smallint|int|bigint|float|double|boolean|date|timestamp|timestamp_ntz|decimal\(\d+,\d+\))\Z"
 TITLE_PATTERN = r"\A([a-z]+)(\(([^)]*)\))?(!)?: "
 
 
@@ -59,7 +64,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.filter((F.col("n_rows") > 1) | unset)
 
 
-def snapshot_diff(
+def keyed_diff(
     old: DataFrame,
     new: DataFrame,
     keys: Sequence[str],
@@ -67,62 +72,89 @@ def snapshot_diff(
     carry: Sequence[str] = (),
     by_digest: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every key of either snapshot: ``(keys, carry, op, changed_cols)``.
+    """Every key of either snapshot: ``(keys, carry, op, changed_cols, old_rows, new_rows)``.
 
-    ``op`` is added, removed, modified or same. ``cols`` are compared null-safely
-    (default: all non-key columns both have with one type; see ``schema_drift`` for
-    the others). ``carry`` columns are taken from the new
-    row, or the old one if removed. Texts and binaries (or those in ``by_digest``) of 16
-    bytes and more are shuffled and compared as 16-byte digests. Keys must be unique in each snapshot
-    (see ``duplicate_keys``), so one shuffle per side on the keys is all it takes.
+    As ``snapshot_diff``, with the rows that each snapshot has of the key. Both are tagged and put
+    together, and one aggregate by key finds the operation, the changed columns and
+    repeated keys: the keys are shuffled once. A null key is one key, and where a key is
+    repeated its operation means nothing.
     """
     if cols is None:
         before = dict(old.dtypes)
         cols = [c for c, dtype in new.dtypes if c not in keys and before.get(c) == dtype]
+    kinds = dict(new.dtypes)
+    digested = {
+        c for c in cols if kinds[c] in ("string", "binary") and (by_digest is None or c in by_digest)
+    }
 
-    def comparable(df: DataFrame, c: str) -> Column:
-        kind, value = dict(df.dtypes)[c], F.col(c)
-        if kind in ("string", "binary") and (by_digest is None or c in by_digest):
-            # Shorter values stand for themselves; NULL stays NULL.
-            short = F.when(F.octet_length(value) < 16, value.cast("binary"))
-            return short.when(value.isNotNull(), digest(value))
+    def parts(c: str) -> list[Column]:
+        """What stands for a value; all of it NULL for a NULL, or a struct that never is."""
+        if c in digested:
+            # Two halves as numbers, which an aggregate can keep in its hash table.
+            return [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(half), c)) for half in (1, 2)]
+        if re.match(FIXED, kinds[c]):
+            return [F.col(c)]
         # Maps cannot be compared, but their entries in order can.
-        return F.array_sort(F.map_entries(c)) if kind.startswith("map<") else value
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(
-            *keys,
-            *[comparable(df, c).alias(f"_{tag}_{c}") for c in cols],
-            *[F.col(c).alias(f"_{tag}_carry_{c}") for c in carry],
-            F.lit(True).alias(f"_in_{tag}"),
-        )
+        return [F.struct(F.array_sort(F.map_entries(c)) if kinds[c].startswith("map<") else F.col(c))]
 
-    in_old, in_new = F.col("_in_old").isNotNull(), F.col("_in_new").isNotNull()
-    differing = F.array_compact(
-        F.array(
-            *[
-                F.when(~F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}")), F.lit(c))
-                for c in cols
-            ]
-        )
-    )
+    named = {(c, i): f"_{at}_{i}" for at, c in enumerate(cols) for i in range(len(parts(c)))}
+    values = [parts(c)[i].alias(name) for (c, i), name in named.items()]
+    carried = [F.struct(*carry).alias("_carry")] if carry else []
+
+    def side(df: DataFrame, is_new: bool) -> DataFrame:
+        return df.select(*keys, F.lit(is_new).alias("_new"), *values, *carried)
+
+    def kept(name: str, is_new: bool) -> Column:
+        value = F.when(F.col("_new") == is_new, F.col(name))
+        simple = not name.startswith("_carry") and re.match(FIXED, types[name])
+        return F.max(value) if simple else F.first(value, ignorenulls=True)
+
+    both = side(old, False).unionByName(side(new, True))
+    types = dict(both.dtypes)
+    rows = [F.count_if(F.col("_new") == is_new).alias(n) for n, is_new in (("old_rows", False), ("new_rows", True))]
+    states = [kept(n, is_new).alias(f"{n}_{is_new}") for n in named.values() for is_new in (False, True)]
+    latest = [kept("_carry", is_new).alias(f"_carry_{is_new}") for is_new in (False, True)] if carry else []
+    met = both.groupBy(*keys).agg(*rows, *states, *latest)
+
+    in_both = (F.col("old_rows") > 0) & (F.col("new_rows") > 0)
+
+    def differs(c: str) -> Column:
+        halves = [~F.col(f"{n}_False").eqNullSafe(F.col(f"{n}_True")) for (of, _), n in named.items() if of == c]
+        return reduce(or_, halves)
+
+    differing = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in cols]))
     none = F.array().cast("array<string>")
-    joined = (
-        side(old, "old")
-        .join(side(new, "new"), list(keys), "full_outer")
-        .withColumn("changed_cols", F.when(in_old & in_new, differing).otherwise(none))
-    )
+    found = met.withColumn("changed_cols", F.when(in_both, differing).otherwise(none) if cols else none)
     op = (
-        F.when(~in_old, "added")
-        .when(~in_new, "removed")
+        F.when(F.col("old_rows") == 0, "added")
+        .when(F.col("new_rows") == 0, "removed")
         .when(F.size("changed_cols") > 0, "modified")
         .otherwise("same")
     )
-    carried = [
-        F.when(in_new, F.col(f"_new_carry_{c}")).otherwise(F.col(f"_old_carry_{c}")).alias(c)
-        for c in carry
-    ]
-    return joined.select(*keys, *carried, op.alias("op"), "changed_cols")
+    last = F.coalesce("_carry_True", "_carry_False") if carry else None
+    return found.select(
+        *keys, *(last[c].alias(c) for c in carry), op.alias("op"), "changed_cols", "old_rows", "new_rows"
+    )
+
+
+def snapshot_diff(
+    old: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    cols: Sequence[str] | None = None,
+    carry: Sequence[str] = (),
+    by_digest: Sequence[str] | None = None,
+) -> DataFrame:
+    """Every key of either snapshot: ``(keys, carry, op, changed_cols)``.
+
+    ``op`` is added, removed, modified or same. ``cols`` are compared null-safely
+    (default: all non-key columns both have with one type; see ``schema_drift`` for
+    the others). ``carry`` columns are taken from the new
+    row, or the old one if removed. Texts and binaries (or those in ``by_digest``)
+    are shuffled and compared as digests of 128 bits. Keys must be unique in each snapshot
+    (``keyed_diff`` counts those that are not).
+    """
+    return keyed_diff(old, new, keys, cols, carry, by_digest).drop("old_rows", "new_rows")
 
 
 def line_diff(old: DataFrame, new: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -276,17 +308,28 @@ def infer_bump(diff: DataFrame, drift: DataFrame | None = None) -> DataFrame:
     Only modified: patch. No change at all: NULL and code 107.
     """
 
-    def ops(name: str) -> Column:
-        return F.count_if(F.col("op") == name)
+    return bump_of(change_counts(diff), drift)
+
+
+def change_counts(diff: DataFrame, **more: Column) -> DataFrame:
+    """One row ``(added, removed, modified)`` and ``more`` aggregates of the same pass."""
+    counts = [_ops(o).alias(o) for o in ("added", "removed", "modified")]
+    return diff.agg(*counts, *(c.alias(n) for n, c in more.items()))
+
+
+def _ops(name: str) -> Column:
+    return F.count_if(F.col("op") == name)
+
 
-    counts = diff.agg(*[ops(o).alias(o) for o in ("added", "removed", "modified")])
+def bump_of(counts: DataFrame, drift: DataFrame | None = None) -> DataFrame:
+    """``infer_bump`` from the counts of changes."""
     if drift is None:
         counts = counts.withColumns({"_broken": F.lit(0), "_grown": F.lit(0)})
     else:
         counts = counts.withColumns(
             {
-                "_broken": drift.agg(ops("removed") + ops("retyped")).scalar(),
-                "_grown": drift.agg(ops("added")).scalar(),
+                "_broken": drift.agg(_ops("removed") + _ops("retyped")).scalar(),
+                "_grown": drift.agg(_ops("added")).scalar(),
             }
         )
     bump = (

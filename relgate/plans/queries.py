@@ -840,16 +840,7 @@ def first_non_empty_query(spark, sf_dir):
 
 def order_snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The orders, and a copy with every tenth under a new key and every tenth changed."""
-    old = table(
-        spark,
-        sf_dir,
-        "orders",
-        "o_orderkey",
-        "o_custkey",
-        "o_orderstatus",
-        "o_totalprice",
-        "o_orderpriority",
-    )
+    old = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     turn = key % 10
     new = old.withColumns(
@@ -880,7 +871,7 @@ def order_diff(spark, sf_dir, *carry: str) -> DataFrame:
     WITH new AS (
       SELECT CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey,
              o_custkey, CASE WHEN o_orderkey % 10 = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-             o_totalprice, o_orderpriority
+             o_totalprice, o_orderdate, o_orderpriority
       FROM orders),
     joined AS (
       SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,
@@ -888,6 +879,7 @@ def order_diff(spark, sf_dir, *carry: str) -> DataFrame:
              concat_ws(',', CASE WHEN o.o_custkey IS DISTINCT FROM n.o_custkey THEN 'o_custkey' END,
                CASE WHEN o.o_orderstatus IS DISTINCT FROM n.o_orderstatus THEN 'o_orderstatus' END,
                CASE WHEN o.o_totalprice IS DISTINCT FROM n.o_totalprice THEN 'o_totalprice' END,
+               CASE WHEN o.o_orderdate IS DISTINCT FROM n.o_orderdate THEN 'o_orderdate' END,
                CASE WHEN o.o_orderpriority IS DISTINCT FROM n.o_orderpriority THEN 'o_orderpriority' END)
                AS cols
       FROM orders o FULL JOIN new n ON o.o_orderkey = n.o_orderkey)

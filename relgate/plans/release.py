@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relgate.functions import codes
 from relgate.functions.codes import GateError
 from relgate.functions.settings import MAX_COMPLEXITY, MAX_DUPLICATES, START_VERSION
-from relgate.operators.diff import duplicate_keys, infer_bump, schema_drift, snapshot_diff
+from relgate.operators.diff import bump_of, change_counts, keyed_diff, schema_drift
 from relgate.operators.gates import gate_result
 from relgate.operators.overlay import section_type_check, settings_lookup
 from relgate.operators.versions import bump_versions, latest_version
@@ -120,13 +122,31 @@ def _validate(spark: SparkSession, plan: Release, found: dict) -> str:
         raise GateError(codes.INVALID_RECORD, "the candidate has no rows")
     if 100.0 * seen.failed > plan.max_invalid_pct * seen.total:
         raise GateError(seen.first.code, seen.first.message)
-    for side, rows in (("candidate", plan.candidate), ("previous", plan.previous)):
-        if not duplicate_keys(rows, plan.keys).isEmpty():
+    found["changes"] = changes = _compared(plan)
+    for side in ("candidate", "previous"):
+        if changes.select(f"{side}_repeats").first()[0]:
             keys = ", ".join(plan.keys)
             raise GateError(codes.INVALID_RECORD, f"keys of the {side} rows are not unique: {keys}")
     return f"{seen.failed} of {seen.total} records failed"
 
 
+def _compared(plan: Release) -> DataFrame:
+    """One row: counts of changes, and of keys that are repeated or NULL on either side.
+
+    Both come from one aggregate by key, so the keys of both sides are shuffled once for
+    the validation and the analysis of changes.
+    """
+    unset = reduce(or_, (F.col(key).isNull() for key in plan.keys))
+
+    def repeats(rows: str) -> Column:
+        return F.count_if((F.col(rows) > 1) | (unset & (F.col(rows) > 0)))
+
+    diff = keyed_diff(plan.previous, plan.candidate, plan.keys)
+    counts = change_counts(diff, candidate_repeats=repeats("new_rows"), previous_repeats=repeats("old_rows"))
+    seen = counts.first()  # one row, kept for the later steps
+    return counts.sparkSession.createDataFrame([seen], counts.schema)
+
+
 def release_settings(spark: SparkSession, settings: str) -> dict:
     """The settings a release reads; a section of the wrong type is code 101."""
     wanted = {**LIMITS, **OTHERS}
@@ -156,8 +176,7 @@ def _analyse_changes(spark: SparkSession, plan: Release, found: dict) -> str:
     drift = schema_drift(plan.previous, plan.candidate).select("op")
     if plan.drift is not None:
         drift = drift.unionByName(plan.drift.select("op"))
-    diff = snapshot_diff(plan.previous, plan.candidate, plan.keys)
-    seen = infer_bump(diff, drift).first()
+    seen = bump_of(found["changes"], drift).first()
     if seen.code != codes.PASSED:
         raise GateError(seen.code, "no changes since the last release")
     found["bump_type"] = seen.bump_type

@@ -155,10 +155,15 @@ def publish(
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
-    """A published version; one that was claimed and not yet put in place is put there first."""
+    """A published version; one that was claimed and not yet put in place is put there first.
+
+    A claimed version whose folder has been cut short since is code 106 and not read.
+    """
     run = _claimed_run(spark, root, name, version)
     if run:
         _settle(spark, root, name, version, run)
+    if not _finished(spark, root, name, version):
+        raise GateError(codes.PUBLISH_ERROR, f"{name} {version} is claimed, and its rows are not whole")
     return read_dataset(spark, root, name, version)
 
 

@@ -1,6 +1,8 @@
+import datetime as dt
 import json
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -74,6 +76,22 @@ def test_long_texts_can_be_compared_by_digest(spark):
     }
 
 
+def test_keyed_diff_counts_the_rows_of_each_key(spark):
+    schema = "k int, d double, t timestamp_ntz, n decimal(20,2), a array<string>, m map<string,int>, s string"
+    at = dt.datetime(2024, 1, 1)
+    row = (1.5, at, Decimal("1.25"), ["x", None], {"a": 1}, "long enough to be digested")
+    old = spark.createDataFrame([(1, *row), (2, *row), (2, *row), (None, *row), (4, *row), (5, *[None] * 6), (6, *row)], schema)
+    new = [(1, *row), (2, *row), (3, *row), (3, *row), (4, 1.5, at, Decimal("1.26"), ["x"], {"b": 1}, "another"), (5, *[None] * 6)]
+    new.append((6, *[None] * 6))
+    found = {r.k: r for r in d.keyed_diff(old, spark.createDataFrame(new, schema), ["k"], carry=["s"]).collect()}
+    assert {k: (r.old_rows, r.new_rows, r.op) for k, r in found.items()} == {
+        1: (1, 1, "same"), 2: (2, 1, "same"), 3: (0, 2, "added"), None: (1, 0, "removed"), 4: (1, 1, "modified"),
+        5: (1, 1, "same"), 6: (1, 1, "modified"),
+    }
+    assert found[4].changed_cols == ["n", "a", "m", "s"] and found[6].changed_cols == ["d", "t", "n", "a", "m", "s"]
+    assert found[4].s == "another" and found[None].s == row[-1] and found[6].s is None
+
+
 def test_duplicate_keys_are_found(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (1, 1), (None, 1)], "a int, b int")
     found = {(r.a, r.b): r.n_rows for r in d.duplicate_keys(df, ["a", "b"]).collect()}

@@ -50,13 +50,21 @@ def test_ledger_takes_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
 
 
-def test_snapshot_diff_shuffles_each_side_once(spark):
+def test_snapshot_diff_shuffles_both_sides_in_one_exchange(spark):
     orders = read_dataset(spark, SF_DIR, "orders.parquet")
     plan = plan_of(diff.snapshot_diff(orders, orders, ["o_orderkey"], ["o_orderstatus"]))
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert plan.count("ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>") == 2
 
 
+def test_a_release_compares_and_finds_repeats_in_one_exchange(spark, tmp_path):
+    orders = read_dataset(spark, SF_DIR, "orders.parquet")
+    # Every type of the table is kept in a hash table: nothing is sorted before the shuffle.
+    plan = plan_of(diff.keyed_diff(orders, orders, ["o_orderkey"]))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Sort" not in plan and plan.count("HashAggregate") == 2
+
+
 @pytest.mark.parametrize("hot_min", [100_000, 2])
 @pytest.mark.parametrize("find", [clones.exact_clones, clones.window_clones])
 def test_clones_read_rows_once_and_count_once(spark, find, hot_min):
