@@ -226,13 +226,51 @@ def _candidates(named: DataFrame, reach: int) -> DataFrame:
     )
 
 
-def _inside(named: DataFrame) -> DataFrame:
-    """``a, b``: every pair of a region whose classes are not connected yet."""
+def _inside(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b, close``: of the pairs of a region that are not connected yet, those whose
+    signatures agree in enough places.
+
+    A region is bounded, so its signatures are compared where its rows meet, and pairs
+    that fail are never rows.
+    """
     mixed = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = written(named.join(mixed.filter("x <> y").select("region"), "region", "left_semi"), "mixed")
-    left = mixed.select("region", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = mixed.select("region", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "region").filter("a < b and ca <> cb").select("a", "b")
+    mixed = named.join(mixed.filter("x <> y").select("region"), "region", "left_semi")
+    rows = mixed.select("region", "id", "component").join(classes.select("id", "sig"), "id")
+    rows = rows.repartition("region").sortWithinPartitions("region", "id")
+
+    def compare(columns: list[np.ndarray]) -> pa.RecordBatch:
+        ids, components, sigs = columns
+        i, j = np.triu_indices(len(ids), 1)
+        apart = components[i] != components[j]
+        i, j = i[apart], j[apart]
+        close = np.empty(len(i))
+        for part in range(0, len(i), 4096):
+            run = slice(part, part + 4096)
+            close[run] = (sigs[i[run]] == sigs[j[run]]).mean(axis=1)
+        keep = close >= SIGNATURE_FLOOR
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        found = (pa.array(low[keep]), pa.array(high[keep]), pa.array(close[keep]))
+        return pa.RecordBatch.from_arrays(list(found), names=["a", "b", "close"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, held = None, []  # of the region at hand, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.asarray(batch.column("region"))
+            ids, components = np.asarray(batch.column("id")), np.asarray(batch.column("component"))
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1), len(names)]
+            for start, stop in zip(cuts[:-1], cuts[1:]):
+                if held and names[start] != region:
+                    yield compare([np.concatenate(c) for c in zip(*held)])
+                    held = []
+                region = names[start]
+                held.append((ids[start:stop], components[start:stop], sigs[start:stop]))
+        if held:
+            yield compare([np.concatenate(c) for c in zip(*held)])
+
+    return rows.mapInArrow(run, "a long, b long, close double")
 
 
 def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -361,14 +399,14 @@ def near_duplicates(
         last = (trees, reach) == ROUNDS[-1]
         named = _named(regions.filter(F.col("tree") < trees), labels)
         pairs = _candidates(named, reach)
-        if last:
-            pairs = pairs.unionByName(_inside(named)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        close = written(_agreement(pairs, classes), "candidates")
+        close = _agreement(pairs, classes)
         if last:
-            close = close.select("a", "b")
+            close = close.unionByName(_inside(named, classes)).select("a", "b").distinct()
+            close = close.join(tried, ["a", "b"], "left_anti")
         else:
+            close = written(close, "candidates")
             # The closest candidate of each class: these join most of what belongs together,
             # and a later round finds the others again.
             close = (
