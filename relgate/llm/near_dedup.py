@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from relgate.llm.common import written
 from relgate.llm.components import components
+from relgate.operators.skew import join_key_stats
 
 SIGNATURE = 128
 TREES = 10
@@ -40,6 +41,8 @@ ROUNDS = ((2, 1), (TREES, 1), (TREES, 4))
 #: A pair whose signatures agree in fewer places than this share has a similarity of 0.8 or
 #: more with a probability below 1e-5 (128 places, 4.4 standard deviations).
 SIGNATURE_FLOOR = 0.64
+#: Sets that hold a shingle from which its rows are spread in a join.
+HOT_SHINGLE = 500
 CACHED_WORDS = 400_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -335,30 +338,36 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _apart(full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """``a, b``: every pair of the sets that can be similar enough and is not connected yet.
 
-    Shingles are ordered by the number of sets that hold them. Two sets of a similarity of
-    ``percent`` have their first common shingle early in both. Of the sets that hold it, those
-    of the most frequent component are not compared with each other.
+    Only shingles whose holders are of several components can be common to such a pair; in
+    the order of shingles they come last, by the number of sets that hold them. Two sets of a
+    similarity of ``percent`` have their first common shingle early in both. Of the sets that
+    hold it, those of the most frequent component are not compared with each other.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, digest, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+            for id_, digest, shingles, component in zip(*(c.to_pylist() for c in batch.columns)):
                 found = np.frombuffer(shingles, np.int64)
-                same = [pa.array(np.full(len(found), v, np.int64)) for v in (id_, len(found))]
+                same = [pa.array(np.full(len(found), v, np.int64)) for v in (id_, component, len(found))]
                 digests = pa.array([digest] * len(found), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*same, digests, pa.array(found)], names=["id", "n", "digest", "shingle"]
+                    [*same, digests, pa.array(found)], names=["id", "component", "n", "digest", "shingle"]
                 )
 
-    held = written(full.mapInArrow(spread, "id long, n long, digest binary, shingle long"), "shingles")
-    # A shingle of one set alone links nothing; it only moves the others back.
-    shared = held.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    named = full.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("id", "digest", "shingles", F.coalesce("component", "id").alias("component"))
+    schema = "id long, component long, n long, digest binary, shingle long"
+    held = written(named.mapInArrow(spread, schema), "shingles")
+    shared = held.groupBy("shingle").agg(
+        F.count("*").alias("holders"), F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    shared = shared.filter("x <> y").select("shingle", "holders")
     mine = Window.partitionBy("id", "n", "digest")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "shingle"))
     early = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-6) + 1
-    first = held.join(shared, "shingle").withColumn("place", place).filter(F.col("place") <= early)
-    known = first.select("id", "n", "shingle", "place").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    known = written(known.withColumn("component", F.coalesce("component", "id")), "prefixes")
+    placed = join_key_stats(held, shared, "shingle", "holders", HOT_SHINGLE)
+    first = placed.withColumn("place", place).filter(F.col("place") <= early)
+    known = written(first.select("id", "component", "n", "shingle", "place"), "prefixes")
     held_by = known.groupBy("shingle", "component").agg(F.count("*").alias("sets"))
     most = held_by.groupBy("shingle").agg(
         F.max_by("component", F.struct("sets", "component")).alias("most"), F.count("*").alias("parts")
