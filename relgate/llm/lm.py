@@ -8,12 +8,15 @@ The weights b depend on the bucket of c(h), the logarithm of the context's frequ
 are learned by expectation-maximisation on held-out counts: each training token is scored
 by the counts that are left when it is deleted from them.
 
-Texts are coded once, in chunks. A chunk asks for the counts of its distinct n-grams, not
-of its tokens, so a frequent n-gram is one entry per chunk and no key is hot.
+Texts are coded once, in chunks of bounded size; a text that does not fit goes on in the
+next chunk, with the word before it as context, and its scores are summed in the end. A chunk
+asks for the counts of its distinct n-grams, not of its tokens, so a frequent n-gram is one
+entry per chunk and no key is hot.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 
 from relgate.llm.common import written
 
-#: Tokens of a chunk, about; a chunk is what one task codes and scores at a time.
-CHUNK_TOKENS = 2_000_000
-#: Tokens of a chunk that are estimated at once.
-SLICE = 250_000
+#: Tokens of a chunk at most; a chunk is one row, and what a task codes and scores at a time.
+CHUNK_TOKENS = 250_000
+#: Bytes of a text that are cut into words at once.
+SEGMENT = 1 << 20
+#: Chunks whose requests, if spread evenly, would fill one part.
+CHUNKS_PER_PART = 8
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; larger ones share the last.
 BUCKETS = 32
 #: Held-out estimates are counted in steps of 1/8 of a factor of two; 60 factors at most.
@@ -38,10 +43,16 @@ STEPS, FACTORS = 8, 60
 ROUNDS = 30
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _END, _START = 0, 1  # codes of the end token and of the context before the first word
 _FIXED = (b"\x00end", b"\x00start")  # no word holds white space or is these: see coded()
 
-CHUNK = "chunk long, keys array<long>, held array<boolean>, sizes binary, vocabulary binary, codes binary"
+#: By piece of a text: ``docs`` numbers its row, ``split`` says that it has other pieces, ``sizes`` counts
+#: its tokens and ``before`` is the code of the context it starts in.
+CHUNK = (
+    "chunk long, keys array<long>, held array<boolean>, docs array<long>, split array<boolean>, "
+    "sizes binary, before binary, vocabulary binary, codes binary"
+)
 
 
 @dataclass(frozen=True)
@@ -50,7 +61,6 @@ class Model:
 
     tokens: int
     distinct: int
-    documents: int
     weights: np.ndarray
 
 
@@ -61,46 +71,94 @@ def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def coded(rows: DataFrame) -> DataFrame:
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, in runs; no word is cut."""
+    start = 0
+    while start < len(text):
+        end = _SPACE.search(text, start + SEGMENT)
+        stop = end.start() if end else len(text)
+        # A word may not be one of the fixed texts: it gets another first byte.
+        yield [b"\x00" + w if w[0] == 0 else w for w in text[start:stop].lower().split()]
+        start = stop
+
+
+class _Writer:
+    """Fills chunks; a text is opened, given words, and closed by its end."""
+
+    def __init__(self, base: int, tokens: int):
+        self.chunk, self.most = base, tokens
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[bytes, int] = {}
+        self.pieces: list[list] = []  # key, held, doc, split, tokens, code before
+        self.codes: list[np.ndarray] = []
+        self.total = 0
+
+    def open(self, key: int | None, held: bool, doc: int, before: bytes | None = None) -> None:
+        at = _START if before is None else self.of([before])[0]
+        self.pieces.append([key, held, doc, before is not None, 0, at])
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        code = self.code
+        for w in words:
+            if w not in code:
+                code[w] = len(code) + 2
+        return np.fromiter(map(code.__getitem__, words), np.uint32, len(words))
+
+    def add(self, codes: np.ndarray) -> None:
+        self.codes.append(codes)
+        self.total += len(codes)
+        self.pieces[-1][4] += len(codes)
+
+    def put(self, words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Adds words to the open text; gives each chunk that is full."""
+        at = 0
+        while at < len(words):
+            if self.total >= self.most - 1:
+                key, held, doc, *_ = self.pieces[-1]
+                last = words[at - 1] if at else self.last
+                self.pieces[-1][3] = True
+                yield self.flush()
+                self.open(key, held, doc, last)
+            some = words[at : at + self.most - 1 - self.total]
+            self.add(self.of(some))
+            at += len(some)
+            self.last = some[-1]
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        self.add(np.array([_END], np.uint32))
+        if self.total >= self.most - 1:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        hashes = b"".join(blake2b(w, digest_size=8).digest() for w in (*_FIXED, *self.code))
+        keys, held, docs, split, sizes, before = zip(*self.pieces)
+        narrow = [np.array(x, np.uint32).tobytes() for x in (sizes, before)]
+        row = [self.chunk, keys, held, docs, split, *narrow, hashes, np.concatenate(self.codes).tobytes()]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+        types += [pa.binary()] * 4
+        names = ["chunk", "keys", "held", "docs", "split", "sizes", "before", "vocabulary", "codes"]
+        self.chunk += 1
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
+
+
+def coded(rows: DataFrame, tokens: int) -> DataFrame:
     """Chunks of ``key, held, text`` rows: the words' hashes and each text's word codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number = TaskContext.get().partitionId() << 32, 0
-        code: dict[bytes, int] = {}
-        keys, held, sizes, codes, total = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            words = [*_FIXED, *code]
-            hashes = b"".join(blake2b(w, digest_size=8).digest() for w in words)
-            sized, all_codes = np.array(sizes, np.uint32), np.concatenate(codes)
-            columns = [[base + number], [keys], [held], [sized.tobytes()], [hashes], [all_codes.tobytes()]]
-            types = [
-                pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(),
-            ]
-            names = ["chunk", "keys", "held", "sizes", "vocabulary", "codes"]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], names=names
-            )
-
+        base = TaskContext.get().partitionId() << 32
+        writer, doc = _Writer(base, tokens), base
         for batch in batches:
-            for key, out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = (text or b"").lower().split()
-                # A word may not be one of the fixed texts: it gets another first byte.
-                found = [b"\x00" + w if w[0] == 0 else w for w in found]
-                for w in set(found).difference(code):
-                    code[w] = len(code) + 2
-                keys.append(key)
-                held.append(out)
-                sizes.append(len(found))
-                codes.append(np.fromiter(map(code.__getitem__, found), np.uint32, len(found)))
-                total += len(found) + 1
-                if total >= CHUNK_TOKENS:
-                    yield flush()
-                    number += 1
-                    code.clear()
-                    keys, held, sizes, codes, total = [], [], [], [], 0
-        if keys:
-            yield flush()
+            for key, held, text in zip(*batch.columns):
+                writer.open(key.as_py(), held.as_py(), doc)
+                doc += 1
+                for words in _words(text.as_py() or b""):
+                    yield from writer.put(words)
+                yield from writer.close()
+        if writer.pieces:
+            yield writer.flush()
 
     return rows.mapInArrow(run, CHUNK)
 
@@ -112,33 +170,24 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 class _Chunk:
-    """A chunk's tokens as arrays: ``token`` and its ``context`` by code, ``doc`` by index."""
+    """A chunk's tokens as arrays: ``token`` and its ``context`` by code, ``piece`` by index."""
 
     def __init__(self, row: dict):
-        sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
         self.hashes = np.frombuffer(row["vocabulary"], np.uint64)
-        self.keys, self.held = row["keys"], np.array(row["held"], bool)
-        ends = np.cumsum(sizes + 1) - 1
-        self.token = np.full(int(ends[-1]) + 1, _END, np.uint32)
-        inner = np.ones(len(self.token), bool)
-        inner[ends] = False
-        self.token[inner] = np.frombuffer(row["codes"], np.uint32)
-        self.context = np.concatenate([np.array([_START], np.uint32), self.token[:-1]])
-        self.context[self.context == _END] = _START
-        self.doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes + 1)
-        self.training = ~self.held[self.doc]
-        self.sizes = sizes + 1
+        self.token = np.frombuffer(row["codes"], np.uint32)
+        self.context = np.concatenate([self.token[:1], self.token[:-1]])
+        starts = np.cumsum(self.sizes) - self.sizes
+        filled = self.sizes > 0
+        self.context[starts[filled]] = np.frombuffer(row["before"], np.uint32)[filled]
+        self.piece = np.repeat(np.arange(len(self.sizes), dtype=np.uint32), self.sizes)
+        self.training = ~np.array(row["held"], bool)[self.piece]
         pair = self.context.astype(np.int64) * len(self.hashes) + self.token
         distinct, at = np.unique(pair, return_inverse=True)
         self.pair = at.astype(np.uint32)
         left, right = np.divmod(distinct, len(self.hashes))
         self.pairs = _pair_hash(self.hashes[left], self.hashes[right])
 
-    def slices(self) -> Iterator[slice]:
-        """Runs of tokens, so that estimates take memory for a run and not for the chunk."""
-        for start in range(0, len(self.token), SLICE):
-            yield slice(start, start + SLICE)
-
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the distinct n-grams, pairs first, and how often training texts hold each."""
         pairs = np.bincount(self.pair, self.training, len(self.pairs))
@@ -157,11 +206,10 @@ def _counts(chunks: DataFrame, parts: int) -> DataFrame:
                 word = np.arange(len(hashes)) >= len(chunk.pairs)
                 part = (hashes >> np.uint64(32)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                asked, cuts = np.unique(part[order], return_index=True)
                 rows = [
-                    (row["chunk"], p, hashes[o].tobytes(), counts[o].astype(np.uint32).tobytes(), np.packbits(word[o]).tobytes())
-                    for p in range(parts)
-                    if len(o := order[cuts[p] : cuts[p + 1]])
+                    (row["chunk"], int(p), hashes[o].tobytes(), counts[o].astype(np.uint32).tobytes(), np.packbits(word[o]).tobytes())
+                    for p, o in zip(asked, np.split(order, cuts[1:]))
                 ]
                 names = ["chunk", "part", "hashes", "counts", "word"]
                 types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -238,30 +286,30 @@ def learn(histogram: np.ndarray, floor: float) -> np.ndarray:
     return weights
 
 
-def scored(df: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
+def scored(df: DataFrame, key: str, text: str, held_out: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows for which ``held_out`` is false. Letters A-Z are
     lower-cased; tokens are the words and one end. A null text is empty and has the end
-    alone; null keys and repeated rows are kept, and each repeated row counts; without a
+    alone; a text of any length is read and scored in pieces of ``chunk_tokens``; null keys and
+    repeated rows are kept, and each repeated row counts; without a
     training row all counts are 0 and the floor alone is left; other columns are dropped;
     an empty table gives no rows.
     """
     rows = df.select(
         F.col(key).cast("long").alias("key"), held_out.alias("held"), F.col(text).cast("string").cast("binary").alias("text")
     )
-    chunks = written(coded(rows), "chunks")
+    chunks = written(coded(rows, chunk_tokens), "chunks")
     n_chunks = chunks.count()
-    # Requests of a part are about as many as those of a chunk, whatever the input.
-    parts = max(16, n_chunks)
+    # A part has the requests of so many chunks, whatever the input; a chunk asks only parts
+    # that hold some of its n-grams.
+    parts = max(16, -(-n_chunks // CHUNKS_PER_PART))
     counts = written(_counts(chunks, parts), "counts")
     # One row per chunk, in which a part has one entry.
     answers = counts.groupBy("chunk").agg(F.collect_list(F.struct("part", "wide", "answer")).alias("answers"))
     joined = written(chunks.join(answers, "chunk"), "joined")
     distinct = counts.agg(F.sum("known")).first()[0] or 0
-    totals = chunks.agg(F.count("*")).first()
-    train = _training_totals(chunks)
-    model = Model(train[0], int(distinct), train[1], np.empty(0)) if totals[0] else Model(0, 0, 0, np.empty(0))
+    model = Model(_training_tokens(chunks), int(distinct), np.empty(0))
     floor = 1 / (model.distinct + 1)
 
     def count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,24 +317,23 @@ def scored(df: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 chunk, pairs, words, contexts = _joined(row, parts)
-                for run in chunk.slices():
-                    use = chunk.training[run]
-                    c2 = pairs[chunk.pair[run][use]] - 1
-                    c1 = words[chunk.token[run][use]] - 1
-                    h = contexts[chunk.context[run][use]] - 1
-                    steps = []
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        for top, bottom in ((c2, h), (c1, model.tokens - 1)):
-                            p = np.where(top > 0, top / np.maximum(bottom, 1), 0)
-                            step = np.round(-STEPS * np.log2(p))
-                            steps.append(np.where(np.isfinite(step), np.minimum(step, most), most).astype(np.int64))
-                    cell = (bucket(h) * (most + 1) + steps[0]) * (most + 1) + steps[1]
-                    cells, n = np.unique(cell, return_counts=True)
-                    rest, one = np.divmod(cells, most + 1)
-                    b, two = np.divmod(rest, most + 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x.astype(np.int64)) for x in (b, two, one, n)], names=["b", "two", "one", "n"]
-                    )
+                use = chunk.training
+                c2 = pairs[chunk.pair[use]] - 1
+                c1 = words[chunk.token[use]] - 1
+                h = contexts[chunk.context[use]] - 1
+                steps = []
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    for top, bottom in ((c2, h), (c1, model.tokens - 1)):
+                        p = np.where(top > 0, top / np.maximum(bottom, 1), 0)
+                        step = np.round(-STEPS * np.log2(p))
+                        steps.append(np.where(np.isfinite(step), np.minimum(step, most), most).astype(np.int64))
+                cell = (bucket(h) * (most + 1) + steps[0]) * (most + 1) + steps[1]
+                cells, n = np.unique(cell, return_counts=True)
+                rest, one = np.divmod(cells, most + 1)
+                b, two = np.divmod(rest, most + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.astype(np.int64)) for x in (b, two, one, n)], names=["b", "two", "one", "n"]
+                )
 
     steps = joined.mapInArrow(count_steps, "b long, two long, one long, n long")
     # Bounded by the numbers of buckets and steps, not by the corpus.
@@ -297,53 +344,56 @@ def scored(df: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 chunk, pairs, words, contexts = _joined(row, parts)
-                n = len(chunk.sizes)
-                known, base, total = np.zeros(n), np.zeros(n), np.zeros(n)
-                for run in chunk.slices():
-                    c1, h, doc = words[chunk.token[run]], contexts[chunk.context[run]], chunk.doc[run]
-                    w = weights[bucket(h)]
-                    p = w[:, 0] * floor + w[:, 1] * c1 / max(model.tokens, 1)
-                    p += w[:, 2] * pairs[chunk.pair[run]] / np.maximum(h, 1)
-                    # What an unseen context cannot give goes to the floor.
-                    p += np.where(h == 0, w[:, 2], 0) * floor
-                    # The texts of a run are neighbours.
-                    first, end = int(doc[0]), int(doc[-1]) + 1
-                    doc = doc - doc[0]
-                    known[first:end] += np.bincount(doc, c1 > 0)
-                    base[first:end] += np.bincount(doc, np.log10((c1 + 1) / (model.tokens + model.distinct + 1)))
-                    total[first:end] += np.bincount(doc, np.log10(p))
+                c1, h = words[chunk.token], contexts[chunk.context]
+                w = weights[bucket(h)]
+                p = w[:, 0] * floor + w[:, 1] * c1 / max(model.tokens, 1)
+                p += w[:, 2] * pairs[chunk.pair] / np.maximum(h, 1)
+                # What an unseen context cannot give goes to the floor.
+                p += np.where(h == 0, w[:, 2], 0) * floor
+                base = np.log10((c1 + 1) / (model.tokens + model.distinct + 1))
+                sums = [np.bincount(chunk.piece, x, len(chunk.sizes)) for x in (c1 > 0, base, np.log10(p))]
                 columns = [
-                    pa.array(chunk.keys, pa.int64()),
-                    pa.array(chunk.held),
-                    pa.array(chunk.sizes.astype(np.int64)),
-                    pa.array(known.astype(np.int64)),
-                    pa.array(np.full(n, model.tokens, np.int64)),
-                    pa.array(base),
-                    pa.array(total),
+                    pa.array(row["keys"], pa.int64()),
+                    pa.array(row["held"], pa.bool_()),
+                    pa.array(row["docs"], pa.int64()),
+                    pa.array(row["split"], pa.bool_()),
+                    pa.array(chunk.sizes),
+                    pa.array(sums[0].astype(np.int64)),
+                    pa.array(sums[1]),
+                    pa.array(sums[2]),
                 ]
-                names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=PIECE)
 
     schema = (
-        "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+        "key long, held_out boolean, doc long, split boolean, n_tokens long, n_known long, "
         "base_score double, score double"
     )
-    return joined.mapInArrow(score, schema).withColumnRenamed("key", key)
+    pieces = written(joined.mapInArrow(score, schema), "pieces")
+    sums = (F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
+    texts = pieces.filter("split").groupBy("doc", "key", "held_out").agg(*sums)
+    out = pieces.filter("not split").select(*texts.columns).unionByName(texts)
+    return out.select(
+        F.col("key").alias(key),
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
 
+PIECE = ["key", "held_out", "doc", "split", "n_tokens", "n_known", "base_score", "score"]
 
-def _training_totals(chunks: DataFrame) -> tuple[int, int]:
-    """Tokens and documents of the training rows."""
+
+def _training_tokens(chunks: DataFrame) -> int:
+    """Tokens of the training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = documents = 0
+            tokens = 0
             for held, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                training = ~np.array(held, bool)
-                tokens += int((np.frombuffer(sizes, np.uint32).astype(np.int64) + 1)[training].sum())
-                documents += int(training.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tokens], pa.int64()), pa.array([documents], pa.int64())], names=["t", "d"]
-            )
-
-    sums = chunks.select("held", "sizes").mapInArrow(run, "t long, d long").agg(F.sum("t"), F.sum("d")).first()
-    return int(sums[0] or 0), int(sums[1] or 0)
+                tokens += int(np.frombuffer(sizes, np.uint32).astype(np.int64)[~np.array(held, bool)].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64())], names=["t"])
+
+    return int(chunks.select("held", "sizes").mapInArrow(run, "t long").agg(F.sum("t")).first()[0] or 0)
