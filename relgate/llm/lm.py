@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from relgate.llm.common import written
 
 #: Tokens of a chunk at most; a chunk is one row, and what a task codes and scores at a time.
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 1_000_000
 #: Bytes of a text that are cut into words at once.
 SEGMENT = 1 << 20
 #: Chunks whose requests, if spread evenly, would fill one part.
@@ -304,12 +304,12 @@ def scored(df: DataFrame, key: str, text: str, held_out: Column, chunk_tokens: i
     # A part has the requests of so many chunks, whatever the input; a chunk asks only parts
     # that hold some of its n-grams.
     parts = max(16, -(-n_chunks // CHUNKS_PER_PART))
+    # A table of its own: the shuffle of the requests can go before that of the answers begins.
+    counts = written(_counts(chunks, parts), "counts")
     # One row per chunk, in which a part has one entry.
-    answers = _counts(chunks, parts).groupBy("chunk").agg(
-        F.collect_list(F.struct("part", "wide", "answer")).alias("answers"), F.sum("known").alias("known")
-    )
+    answers = counts.groupBy("chunk").agg(F.collect_list(F.struct("part", "wide", "answer")).alias("answers"))
     joined = written(chunks.join(answers, "chunk"), "joined")
-    distinct = joined.agg(F.sum("known")).first()[0] or 0
+    distinct = counts.agg(F.sum("known")).first()[0] or 0
     model = Model(_training_tokens(chunks), int(distinct), np.empty(0))
     floor = 1 / (model.distinct + 1)
 
