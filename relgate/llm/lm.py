@@ -195,6 +195,23 @@ class _Chunk:
         return np.concatenate([self.pairs, self.hashes]), np.concatenate([pairs, words]).astype(np.int64)
 
 
+def _order(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part of each hash, and the order by part and hash in which hashes are asked and answered."""
+    part = (hashes >> np.uint64(32)) % np.uint64(parts)
+    return part, np.lexsort((hashes, part))
+
+
+def _packed(rising: np.ndarray) -> bytes:
+    """Rising hashes as their steps, byte by byte of significance: upper bytes of steps are zeros."""
+    steps = np.diff(rising, prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _counts(chunks: DataFrame, parts: int) -> DataFrame:
     """``chunk, part, counts``: the corpus counts of what each chunk asked, in asked order."""
 
@@ -204,11 +221,10 @@ def _counts(chunks: DataFrame, parts: int) -> DataFrame:
                 chunk = _Chunk(row)
                 hashes, counts = chunk.asked()
                 word = np.arange(len(hashes)) >= len(chunk.pairs)
-                part = (hashes >> np.uint64(32)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
+                part, order = _order(hashes, parts)
                 asked, cuts = np.unique(part[order], return_index=True)
                 rows = [
-                    (row["chunk"], int(p), hashes[o].tobytes(), counts[o].astype(np.uint32).tobytes(), np.packbits(word[o]).tobytes())
+                    (row["chunk"], int(p), _packed(hashes[o]), counts[o].astype(np.uint32).tobytes(), np.packbits(word[o]).tobytes())
                     for p, o in zip(asked, np.split(order, cuts[1:]))
                 ]
                 names = ["chunk", "part", "hashes", "counts", "word"]
@@ -218,7 +234,7 @@ def _counts(chunks: DataFrame, parts: int) -> DataFrame:
                 )
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in group["hashes"]])
+        hashes = np.concatenate([_unpacked(h) for h in group["hashes"]])
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in group["counts"]])
         sizes = [len(h) // 8 for h in group["hashes"]]
         word = np.concatenate([np.unpackbits(np.frombuffer(w, np.uint8))[:n] for w, n in zip(group["word"], sizes)])
@@ -249,13 +265,13 @@ def _joined(row: dict, parts: int) -> tuple[_Chunk, np.ndarray, np.ndarray, np.n
     """A chunk with the corpus counts of its pairs, of its words, and of its contexts."""
     chunk = _Chunk(row)
     hashes, _ = chunk.asked()
-    part = (hashes >> np.uint64(32)) % np.uint64(parts)
+    _, order = _order(hashes, parts)
     answers = sorted(row["answers"], key=lambda a: a["part"])
     flat = np.concatenate(
         [np.frombuffer(a["answer"], np.uint64 if a["wide"] else np.uint32).astype(np.int64) for a in answers]
     )
     counts = np.empty(len(hashes), np.int64)
-    counts[np.argsort(part, kind="stable")] = flat
+    counts[order] = flat
     pairs, words = counts[: len(chunk.pairs)], counts[len(chunk.pairs) :].copy()
     contexts = words.copy()
     contexts[_START] = words[_END]  # a text has one start and one end
