@@ -18,6 +18,9 @@ SQL_SETTINGS = {
     "spark.sql.broadcastTimeout": "7200",
 }
 
+#: Has Spark remove the shuffle files of a command when it ends, and not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scope: ContextVar[str | None] = ContextVar("scratch scope", default=None)
 
 
@@ -73,8 +76,23 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Writes in this scope leave no shuffle files behind: the table is what is read again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a scratch table: read again where it is used more than once, not computed again."""
     path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
