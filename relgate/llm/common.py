@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgate.session import scratch_path
+from relgate.session import scratch_path, shuffles_removed
 
 #: The characters that part words: blank and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,7 +28,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
