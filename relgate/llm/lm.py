@@ -71,6 +71,17 @@ def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of significance: the upper bytes stand together and compress to little."""
+    wide = numbers.astype(numbers.dtype.newbyteorder("<"))
+    return wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes()
+
+
+def _from_planes(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _words(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in order, in runs; no word is cut."""
     start = 0
@@ -135,7 +146,7 @@ class _Writer:
         hashes = b"".join(blake2b(w, digest_size=8).digest() for w in (*_FIXED, *self.code))
         keys, held, docs, split, sizes, before = zip(*self.pieces)
         narrow = [np.array(x, np.uint32).tobytes() for x in (sizes, before)]
-        row = [self.chunk, keys, held, docs, split, *narrow, hashes, np.concatenate(self.codes).tobytes()]
+        row = [self.chunk, keys, held, docs, split, *narrow, hashes, _planes(np.concatenate(self.codes))]
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
         types += [pa.binary()] * 4
         names = ["chunk", "keys", "held", "docs", "split", "sizes", "before", "vocabulary", "codes"]
@@ -175,7 +186,7 @@ class _Chunk:
     def __init__(self, row: dict):
         self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
         self.hashes = np.frombuffer(row["vocabulary"], np.uint64)
-        self.token = np.frombuffer(row["codes"], np.uint32)
+        self.token = _from_planes(row["codes"], "<u4")
         self.context = np.concatenate([self.token[:1], self.token[:-1]])
         starts = np.cumsum(self.sizes) - self.sizes
         filled = self.sizes > 0
@@ -202,14 +213,12 @@ def _order(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(rising: np.ndarray) -> bytes:
-    """Rising hashes as their steps, byte by byte of significance: upper bytes of steps are zeros."""
-    steps = np.diff(rising, prepend=np.uint64(0))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Rising hashes as the steps between them, whose upper bytes are zeros."""
+    return _planes(np.diff(rising, prepend=np.uint64(0)))
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    steps = np.frombuffer(packed, np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(packed, "<u8"), dtype=np.uint64)
 
 
 def _counts(chunks: DataFrame, parts: int) -> DataFrame:
