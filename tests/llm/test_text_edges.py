@@ -67,7 +67,7 @@ def test_pii(docs):
 
 def test_classifiers(docs, labels):
     toxic = toxicity.fit(docs, labels, "doc_id", "text", "toxic", F.lit(True))
-    good = quality.fit(docs, labels, "doc_id", "text", "quality", F.lit(True), quality.Settings(steps=5))
+    good = quality.fit(docs, labels, "doc_id", "text", "quality", F.lit(True), quality.Settings(rounds=2, steps=3))
     for found in (toxicity.score(docs, "doc_id", "text", toxic), quality.score(docs, "doc_id", "text", good)):
         assert found.columns == ["doc_id", "score"] and keys(found) == all_keys(docs)
         assert all(0 <= r.score <= 1 for r in found.collect())
