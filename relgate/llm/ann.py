@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -116,9 +117,10 @@ def nearest(
 
     ``score`` is the Euclidean distance; ties go to the smaller key; fewer rows are returned
     if there are fewer candidates. Vectors that are null, empty, zero or not finite, and
-    rows with a null key take no part, neither do rows of another vector length than the
-    most frequent; a query's own key is no candidate; rows that repeat a query's key search
-    once for each distinct vector and share the ranks; an empty table gives no rows.
+    rows with a null key take no part; a vector is near to those of its own length only, and
+    each length has its own tree; a query's own key is no candidate; rows that repeat a
+    query's key search once for each distinct vector and share the ranks; an empty table
+    gives no rows.
     """
 
     def prepared(rows: DataFrame) -> DataFrame:
@@ -127,10 +129,27 @@ def nearest(
 
     schema = "query_id long, rank int, vec_id long, score double"
     base = prepared(df)
-    width = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if width is None:
+    asked = prepared(queries).distinct()
+    # Lengths are a property of the models that made the vectors: a few.
+    widths = sorted(row.w for row in base.select(F.size("v").alias("w")).distinct().collect())
+    if not widths:
         return df.sparkSession.createDataFrame([], schema)
-    base = base.filter(F.size("v") == width.w)
+    hits = [
+        _found(base.filter(F.size("v") == w), asked.filter(F.size("v") == w), k, recall, sample_rows) for w in widths
+    ]
+    best = reduce(DataFrame.unionByName, hits).groupBy("query_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best")
+    )
+    return best.select("query_id", F.posexplode("best").alias("pos", "hit")).select(
+        "query_id",
+        (F.col("pos") + 1).cast("int").alias("rank"),
+        F.col("hit.vec_id").alias("vec_id"),
+        F.col("hit.score").alias("score"),
+    )
+
+
+def _found(base: DataFrame, asked: DataFrame, k: int, recall: float, sample_rows: int) -> DataFrame:
+    """``query_id, vec_id, score``: the ``k`` nearest of each visited leaf, for vectors of one length."""
     x = sample(base, "id", "v", sample_rows)
     tree = calibrated(grow(x, BRANCHES, LEAF_ROWS), x, k, recall, CALIBRATION)
 
@@ -161,7 +180,6 @@ def nearest(
                     [*taken.columns, pa.array(leaves, pa.int32())], names=["query_id", "q", "leaf"]
                 )
 
-    asked = prepared(queries).filter(F.size("v") == width.w).distinct()
     asked = asked.mapInArrow(search, "query_id long, q array<double>, leaf int")
     # Large leaves are searched in blocks; the counts are those of the bounded tree.
     blocks = F.element_at(F.array(*[F.lit(-(-n // BLOCK) or 1) for n in held]), F.col("leaf") + 1)
@@ -182,20 +200,11 @@ def nearest(
                 out["score"] += score[best].tolist()
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    hits = (
+    return (
         asked.groupBy("leaf", "block")
         .cogroup(dealt.groupBy("leaf", "block"))
         .applyInPandas(compare, "query_id long, vec_id long, score double")
     )
-    best = hits.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best")
-    )
-    return best.select("query_id", F.posexplode("best").alias("pos", "hit")).select(
-        "query_id",
-        (F.col("pos") + 1).cast("int").alias("rank"),
-        F.col("hit.vec_id").alias("vec_id"),
-        F.col("hit.score").alias("score"),
-    )
 
 
 def _smallest(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

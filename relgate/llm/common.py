@@ -33,6 +33,22 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Leading hash bits by which a sample's rows are counted first.
+SAMPLE_BITS = 16
+
+
 def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """``rows`` rows at most, those with the smallest hash of the key; the same in every run."""
-    return df.orderBy(F.xxhash64(key, F.lit("sample")), key).limit(rows)
+    """``rows`` rows at most, those with the smallest hash of the key; the same in every run.
+
+    The rows are counted by leading hash bits first (at most 65,536 counts), and only buckets
+    that the sample reaches into are ordered, so a task sends its share and not ``rows``.
+    """
+    hashed = F.xxhash64(key, F.lit("sample"))
+    bucket = F.shiftright(hashed, 64 - SAMPLE_BITS)
+    held = df.groupBy(bucket.alias("bucket")).count().collect()
+    last, total = -(1 << 63), 0
+    for row in sorted(held, key=lambda r: r.bucket):
+        if total >= rows:
+            break
+        last, total = row.bucket, total + row["count"]
+    return df.filter(bucket <= last).orderBy(hashed, key).limit(rows)
