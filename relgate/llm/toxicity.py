@@ -11,8 +11,7 @@ drive it below zero by learning the unlabelled rows by heart:
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,8 +29,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 class Settings:
     """``positives`` and ``unlabelled`` bound the sample of rows that the model is fitted on."""
 
-    positives: int = 1000
-    unlabelled: int = 2000
+    positives: int = 2000
+    unlabelled: int = 4000
     least_documents: int = 3
     least_excess: float = 4.0
     vocabulary: int = 20_000
@@ -76,56 +75,82 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
 
 
+@dataclass
+class Numbered:
+    """Documents as the sorted numbers of their features: far smaller than sets of words."""
+
+    number: dict[str, int] = field(default_factory=dict)
+    by_word: dict[str, list[int]] = field(default_factory=dict, repr=False)
+
+    def of(self, doc: Iterable[str]) -> np.ndarray:
+        found: set[int] = set()
+        for word in doc:
+            known = self.by_word.get(word)
+            if known is None:
+                known = [self.number.setdefault(f, len(self.number)) for f in features(word)]
+                self.by_word[word] = known
+            found.update(known)
+        return np.array(sorted(found), np.int32)
+
+
+def risk_and_gradient(
+    theta: np.ndarray, positive: tuple, unlabelled: tuple, prior: float
+) -> tuple[float, float, np.ndarray]:
+    """Risk of the positives, that of the negatives, and the gradient of the non-negative risk.
+
+    A side is the features and the rows they stand in, and the number of rows. Where the
+    negatives' risk is below zero, the gradient is that of its ascent alone.
+    """
+    (pi, pr, n_pos), (ui, ur, n_unl), v = positive, unlabelled, len(theta) - 1
+    f_pos = np.bincount(pr, theta[pi], n_pos) + theta[v]
+    f_unl = np.bincount(ur, theta[ui], n_unl) + theta[v]
+    s_pos, s_unl = 0.5 + 0.5 * np.tanh(f_pos / 2), 0.5 + 0.5 * np.tanh(f_unl / 2)
+    negative = np.logaddexp(0, f_unl).mean() - prior * np.logaddexp(0, f_pos).mean()
+    sign = 1.0 if negative >= 0 else -1.0
+    g_pos = (prior * (s_pos - 1) * (sign > 0) - sign * prior * s_pos) / n_pos
+    g_unl = sign * s_unl / n_unl
+    grad = np.append(
+        np.bincount(pi, g_pos[pr], v) + np.bincount(ui, g_unl[ur], v), g_pos.sum() + g_unl.sum()
+    )
+    return prior * np.logaddexp(0, -f_pos).mean(), negative, grad
+
+
 def fit_weights(
-    positive: list[set[str]], unlabelled: list[set[str]], prior: float, settings: Settings
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], numbered: Numbered, prior: float, settings: Settings
 ) -> Model:
     """Minimises the non-negative risk with logistic loss, by Adam on all rows at once."""
-    positive = [{f for w in doc for f in features(w)} for doc in positive]
-    df_pos = Counter(f for doc in positive for f in doc)
-    df_pos = {f: n for f, n in df_pos.items() if n >= settings.least_documents}
-    known: dict[str, list[str]] = {}
-    for word in {w for doc in unlabelled for w in doc}:
-        if common := [f for f in features(word) if f in df_pos]:
-            known[word] = common
-    unlabelled = [{f for w in doc if w in known for f in known[w]} for doc in unlabelled]
-    df_unl = Counter(f for doc in unlabelled for f in doc)
+    if not positive or not unlabelled:
+        return Model()
+    names = list(numbered.number)
+    in_pos = np.bincount(np.concatenate(positive), minlength=len(names))
+    in_unl = np.bincount(np.concatenate(unlabelled), minlength=len(names))
+    df_pos = {names[i]: (int(in_pos[i]), int(in_unl[i])) for i in np.flatnonzero(in_pos >= settings.least_documents)}
 
     def excess(w: str) -> float:
         """By how many standard errors the feature is commoner in toxic than in unlabelled text."""
-        a, b = df_pos[w] / len(positive), df_unl[w] / len(unlabelled)
+        a, b = df_pos[w][0] / len(positive), df_pos[w][1] / len(unlabelled)
         spread = max(b, 1 / len(unlabelled)) * (1 / len(positive) + 1 / len(unlabelled))
         return (a - b) / spread**0.5
 
-    if not positive or not unlabelled:
-        return Model()
     scored = [(-excess(w), w) for w in df_pos]
     chosen = sorted(x for x in scored if -x[0] >= settings.least_excess)[: settings.vocabulary]
     vocabulary = {w: i for i, (_, w) in enumerate(chosen)}
     if not vocabulary:
         return Model()
 
+    place = np.full(len(names), -1)
+    place[[numbered.number[w] for w in vocabulary]] = np.arange(len(vocabulary))
+
     def rows(docs):
-        found = [[vocabulary[w] for w in doc if w in vocabulary] for doc in docs]
-        sizes = np.array([len(f) for f in found])
-        return np.array([i for f in found for i in f], np.int64), np.repeat(np.arange(len(docs)), sizes)
+        found = [place[doc][place[doc] >= 0] for doc in docs]
+        return np.concatenate(found), np.repeat(np.arange(len(docs)), [len(f) for f in found]), len(docs)
 
-    (pi, pr), (ui, ur) = rows(positive), rows(unlabelled)
-    n_pos, n_unl, v = len(positive), len(unlabelled), len(vocabulary)
+    pos, unl, v = rows(positive), rows(unlabelled), len(vocabulary)
     theta = np.zeros(v + 1)
     theta[v] = np.log(prior / (1 - prior))
     mean, square = np.zeros(v + 1), np.zeros(v + 1)
     for step in range(1, settings.steps + 1):
-        f_pos = np.bincount(pr, theta[pi], n_pos) + theta[v]
-        f_unl = np.bincount(ur, theta[ui], n_unl) + theta[v]
-        s_pos, s_unl = 0.5 + 0.5 * np.tanh(f_pos / 2), 0.5 + 0.5 * np.tanh(f_unl / 2)
-        negative = np.logaddexp(0, f_unl).mean() - prior * np.logaddexp(0, f_pos).mean()
-        # Below zero, the step goes up the negative part alone until it is not.
-        sign = 1.0 if negative >= 0 else -1.0
-        g_pos = (prior * (s_pos - 1) * (sign > 0) - sign * prior * s_pos) / n_pos
-        g_unl = sign * s_unl / n_unl
-        grad = np.append(
-            np.bincount(pi, g_pos[pr], v) + np.bincount(ui, g_unl[ur], v), g_pos.sum() + g_unl.sum()
-        )
+        grad = risk_and_gradient(theta, pos, unl, prior)[2]
         grad[:v] += settings.decay * prior * theta[:v]
         mean += 0.1 * (grad - mean)
         square += 0.001 * (grad**2 - square)
@@ -165,13 +190,11 @@ def fit(
             )
 
     bagged = rows.select("positive", "text").mapInArrow(bags, "positive boolean, words array<string>")
-    sides: dict[bool, list[set[str]]] = {True: [], False: []}
-    same: dict[str, str] = {}  # one object per distinct word
+    sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    numbered = Numbered()
     for row in bagged.toLocalIterator():
-        sides[row.positive].append({same.setdefault(w, w) for w in row.words})
-    if not sides[True]:
-        return Model()
-    return fit_weights(sides[True], sides[False], prior, settings)
+        sides[row.positive].append(numbered.of(row.words))
+    return fit_weights(sides[True], sides[False], numbered, prior, settings)
 
 
 def score_column(text: str, model: Model) -> Column:
