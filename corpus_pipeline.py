@@ -25,12 +25,29 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates.
 
-    Rows that repeat an id are a group, too; documents without an id all stay.
+    Of rows that repeat an id, those of equal text are one document, the first by its other
+    columns, and those of other texts are documents of their own. One of them, with the
+    smallest text digest, counts by its id, the others as later than any id below 2**62.
+    Documents without an id all stay.
     """
-    groups = near_dedup.near_duplicates(docs, "doc_id", "text")
-    kept = groups.filter("kept").select("doc_id").filter("doc_id is not null").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("place"))
+    named = rows.filter("doc_id is not null")
+    again = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = written(again, "repeated-ids")
+    if not again.isEmpty():
+        rest = F.struct("lang", "source", "n_chars")
+        texts = named.join(again, "doc_id", "left_semi").withColumn("digest", F.sha2("text", 256))
+        texts = texts.groupBy("doc_id", "digest").agg(F.min("text").alias("text"), F.min(rest).alias("rest"))
+        texts = written(texts, "repeated-texts")
+        first = texts.groupBy("doc_id").agg(F.min(F.coalesce("digest", F.lit(""))).alias("first"))
+        later = F.shiftrightunsigned(F.xxhash64("doc_id", "digest"), 2).bitwiseOR(F.lit(1 << 62))
+        place = F.when(F.coalesce("digest", F.lit("")) == F.col("first"), F.col("doc_id").cast("long")).otherwise(later)
+        texts = texts.join(first, "doc_id").select("doc_id", "text", "rest.*", place.alias("place"))
+        named = written(named.join(again, "doc_id", "left_anti").unionByName(texts), "distinct-documents")
+    groups = near_dedup.near_duplicates(named, "place", "text")
+    kept = groups.filter("kept").select("place")
+    one_each = named.join(kept, "place", "left_semi").select(*COLUMNS)
+    return one_each.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,22 +69,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mixing.mix(docs, "doc_id", "source", "text")
-    times = mixed.select(
-        F.col("doc_id").alias("mixed"),
-        F.col("source").alias("from"),
-        "size",
-        F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1).alias("times"),
-    ).groupBy("mixed", "from", "size").agg(F.max("times").alias("times"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)).cast("long")
-    rows = docs.select(*COLUMNS, size.alias("words"))
-    match = (
-        F.col("doc_id").eqNullSafe(F.col("mixed"))
-        & F.col("source").eqNullSafe(F.col("from"))
-        & (F.col("words") == F.col("size"))
-    )
-    repeated = rows.join(times.filter("times > 0"), match)
-    return repeated.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select(*COLUMNS)
+    return mixing.mixed_rows(docs.select(*COLUMNS), "doc_id", "source", "text")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relgate.llm.common import WORD, written
@@ -29,15 +29,19 @@ RUN = 10_000
 def sized(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """``key``, ``source``, number of words and hash place of every row; a null text has 0 words."""
     words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD))
-    place = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("mix")), 64 - ALL_BITS)
     return df.select(
         F.col(key).alias("key"),
         F.col(source).alias("source"),
         words.cast("long").alias("size"),
-        place.alias("place"),
+        place_of(key).alias("place"),
     )
 
 
+def place_of(key: str) -> Column:
+    """The key's hash, by which documents are taken."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("mix")), 64 - ALL_BITS)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     """``source``, ``source_size`` and ``target`` of every source.
 
@@ -153,21 +157,87 @@ def mix(
     in the boundary bucket; where more than ``FEW`` rows share one place, as those of a repeated
     or null key do, as many as fit are taken, short ones first; other columns are dropped; an empty table gives no rows.
     """
-    key_type = df.schema[key].dataType.simpleString()
     sizes = written(sized(df, key, source, text), "mix-sizes")
-    state = _thresholds(sizes, source_targets(sizes, weights, most), most)
-    known = state.withColumnRenamed("source", "known")
-    rows = sizes.join(known, F.col("source").eqNullSafe(F.col("known")), "left").drop("known")
-    shift = F.lit(ALL_BITS) - F.col("bits")
-    bucket_end = F.expr(f"low + shiftleft(1L, {ALL_BITS} - bits)")
-    inside = (F.col("place") >= F.col("low")) & (F.col("place") < bucket_end)
-    inside = inside & (F.col("few") > 0) & (shift >= 0)
-    boundary = inside & (F.col("few") <= FEW)
+    rows, inside = _placed(sizes, _thresholds(sizes, source_targets(sizes, weights, most), most))
     base = F.col("passes") * F.col("size")
     plain = rows.filter(~inside).select(
         "key", "source", "size", "source_size", "target",
         (base + F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0)).alias("taken"),
     )
+    return plain.unionByName(_ends(rows, inside)).withColumnsRenamed({"key": key, "source": source})
+
+
+def mixed_rows(
+    df: DataFrame,
+    key: str,
+    source: str,
+    text: str,
+    weights: Sequence[float] = (5, 2, 1),
+    most: float = 3,
+) -> DataFrame:
+    """All columns of ``df``, each row as many times as :func:`mix` takes it; wordless rows once.
+
+    A row's place is compared with its source's threshold, so rows stay where they are; only
+    those of the boundary buckets meet the list of what is taken there. Where more than ``FEW``
+    rows share one place, rows of equal key, source and size are taken alike, as often as the
+    most taken of them. Nulls, repeated rows and empty tables are treated as in :func:`mix`.
+    """
+    sizes = written(sized(df, key, source, text), "mix-sizes")
+    state = _thresholds(sizes, source_targets(sizes, weights, most), most)
+    decided, end = _placed(sizes, state)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    words = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    carried = df.select(
+        whole,
+        F.col(key).alias("key"),
+        F.col(source).alias("source"),
+        place_of(key).alias("place"),
+        words.rlike(WORD).alias("worded"),
+        F.regexp_count(words, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(words).alias("mark"),
+    )
+    rows, inside = _placed(carried, state)
+    # Without "size", so that words are counted again in the boundary buckets only.
+    plain = rows.filter(~inside).select(
+        "row",
+        F.when(F.col("worded"), F.col("passes") + (F.col("place") < F.col("low")).cast("long"))
+        .otherwise(1).alias("times"),
+    )
+    same = ("key", "source", "size")
+    few, crowd = F.col("few") <= FEW, F.col("few") > FEW
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1)
+
+    def asked(condition: Column) -> DataFrame:
+        mine = [F.col(c).alias(f"r_{c}") for c in same]
+        return rows.filter(inside & condition).select("row", *mine, "mark")
+
+    on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in same]
+    # At most FEW rows a source: rows of equal key and size are told apart by their order.
+    listed = _ends(decided, end & few).select(*same, times.alias("times"))
+    listed = listed.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("times"))))
+    by_mark = Window.partitionBy(*[f"r_{c}" for c in same]).orderBy("mark")
+    ordered = asked(few).withColumn("r_nth", F.row_number().over(by_mark))
+    ends = ordered.join(listed, [*on, F.col("nth") == F.col("r_nth")]).select("row", "times")
+    alike = _ends(decided, end & crowd).groupBy(*same).agg(F.max(times).alias("times"))
+    crowded = asked(crowd).join(alike, on).select("row", "times")
+    both = plain.unionByName(ends).unionByName(crowded)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "times"))
+    return both.filter("times > 0").select("row", copies.alias("copy")).select("row.*")
+
+
+def _placed(rows: DataFrame, state: DataFrame):
+    """Rows beside their source's threshold, and the condition of a boundary bucket."""
+    known = state.withColumnRenamed("source", "known")
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("known")), "left").drop("known")
+    bucket_end = F.expr(f"low + shiftleft(1L, {ALL_BITS} - bits)")
+    inside = (F.col("place") >= F.col("low")) & (F.col("place") < bucket_end)
+    return rows, inside & (F.col("few") > 0) & (F.col("bits") <= ALL_BITS)
+
+
+def _ends(rows: DataFrame, inside: Column) -> DataFrame:
+    """What is taken of the rows in the boundary buckets."""
+    key_type = rows.schema["key"].dataType.simpleString()
+    boundary = inside & (F.col("few") <= FEW)
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["place", "key", "size"], kind="stable")
@@ -210,4 +280,4 @@ def mix(
         F.explode(F.sequence("start", F.least(F.col("start") + RUN - 1, F.col("part.rows")))).alias("row"),
     )
     filled = filled.unionByName(crowd.drop("row"))
-    return plain.unionByName(filled).withColumnsRenamed({"key": key, "source": source})
+    return filled
