@@ -42,7 +42,7 @@ class Settings:
 
 #: Leading letters that words of one origin share, and the words a worker remembers.
 STEMS = (4, 5, 6)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 @dataclass
