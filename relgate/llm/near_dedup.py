@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from relgate.llm.common import written
 from relgate.llm.components import components
+from relgate.operators.skew import join_key_stats
 
 SIGNATURE = 128
 TREES = 10
@@ -40,6 +41,10 @@ ROUNDS = ((2, 1), (TREES, 1), (TREES, 4))
 #: A pair whose signatures agree in fewer places than this share has a similarity of 0.8 or
 #: more with a probability below 1e-5 (128 places, 4.4 standard deviations).
 SIGNATURE_FLOOR = 0.64
+#: Shingles of the sets of a block, about, in the exact join.
+BLOCK_SHINGLES = 16_384
+#: Shingles of a component's sets, and sets that hold one shingle, from which they are spread over tasks.
+HOT_SHINGLES, HOT_POSTING = 65_536, 512
 CACHED_WORDS = 400_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -332,6 +337,76 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
+def _blocks(named: DataFrame) -> DataFrame:
+    """``named`` with ``block``: sets of about ``BLOCK_SHINGLES`` shingles, one component's together.
+
+    A component of more shingles is cut into parts by a hash. Some blocks get several parts,
+    and a longer set is a block's by itself or beside others.
+    """
+    sizes = named.groupBy("component").agg(F.sum("n").alias("weight"))
+    total = sizes.agg(F.sum("weight")).first()[0] or 0
+    dealt = join_key_stats(named, sizes, "component", "weight", HOT_SHINGLES)
+    part = F.pmod(F.xxhash64("id", "digest"), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    blocks = max(1, -(-total // BLOCK_SHINGLES))
+    return dealt.withColumn("block", F.pmod(F.xxhash64("component", part), F.lit(blocks))).drop("weight")
+
+
+def _asked(blocks: DataFrame) -> DataFrame:
+    """``block, shingle, holders, x, y``: a block's distinct shingles, once each.
+
+    With the number of its sets that hold it, and their smallest and largest component.
+    """
+
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s, np.int64) for s in table.column("shingles").to_pylist()]
+        component = np.repeat(np.asarray(table.column("component")), [len(s) for s in sets])
+        shingle = np.concatenate(sets)
+        order = np.lexsort((component, shingle))
+        shingle, component = shingle[order], component[order]
+        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        last = np.r_[first[1:], len(shingle)]
+        return pa.table(
+            {
+                "block": np.full(len(first), key[0].as_py(), np.int64),
+                "shingle": shingle[first],
+                "holders": last - first,
+                "x": component[first],
+                "y": component[last - 1],
+            }
+        )
+
+    schema = "block long, shingle long, holders long, x long, y long"
+    return blocks.groupBy("block").applyInArrow(ask, schema)
+
+
+def _prefix_postings(blocks: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """``id, component, n, shingle, place``: the early shingles of each set among the ``shared`` ones.
+
+    ``shared`` has ``block, shingle, holders``. The others come before them, in no order.
+    """
+
+    def place(key: tuple[pa.Scalar, ...], sets: pa.Table, answers: pa.Table) -> pa.Table:
+        known, holders = np.asarray(answers.column("shingle")), np.asarray(answers.column("holders"))
+        order = np.argsort(known)
+        known, holders = known[order], holders[order]
+        rows = [np.empty((5, 0), np.int64)]
+        columns = (sets.column(c).to_pylist() for c in ("id", "component", "shingles"))
+        for id_, component, shingles in zip(*columns) if len(known) else ():
+            found = np.frombuffer(shingles, np.int64)
+            n = len(found)
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            hit = known[at] == found
+            found, held = found[hit], holders[at[hit]]
+            early = max(0, len(found) - (n * percent + 99) // 100 + 1)
+            found = found[np.lexsort((found, held))[:early]]
+            places = n - int(hit.sum()) + 1 + np.arange(len(found))
+            rows.append(np.stack([*(np.full(len(found), v) for v in (id_, component, n)), found, places]))
+        return pa.table(list(np.concatenate(rows, axis=1)), names=["id", "component", "n", "shingle", "place"])
+
+    schema = "id long, component long, n long, shingle long, place long"
+    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(place, schema)
+
+
 def _apart(full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """``a, b``: every pair of the sets that can be similar enough and is not connected yet.
 
@@ -339,39 +414,45 @@ def _apart(full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     the order of shingles they come last, by the number of sets that hold them. Two sets of a
     similarity of ``percent`` have their first common shingle early in both. Of the sets that
     hold it, those of the most frequent component are not compared with each other.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for id_, digest, shingles, component in zip(*(c.to_pylist() for c in batch.columns)):
-                found = np.frombuffer(shingles, np.int64)
-                same = [pa.array(np.full(len(found), v, np.int64)) for v in (id_, component, len(found))]
-                digests = pa.array([digest] * len(found), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*same, digests, pa.array(found)], names=["id", "component", "n", "digest", "shingle"]
-                )
 
+    Shingles are looked up by blocks of sets, each once for a block, and those of near copies
+    are mostly the same. The sets that hold a shingle meet in a grid of tasks.
+    """
     named = full.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("id", "digest", "shingles", F.coalesce("component", "id").alias("component"))
-    schema = "id long, component long, n long, digest binary, shingle long"
-    held = written(named.mapInArrow(spread, schema), "shingles")
-    shared = held.groupBy("shingle").agg(
-        F.count("*").alias("holders"), F.min("component").alias("x"), F.max("component").alias("y")
+    named = named.select(
+        "id",
+        "digest",
+        F.coalesce("component", "id").alias("component"),
+        (F.length("shingles") / 8).cast("long").alias("n"),
+        "shingles",
+    )
+    blocks = written(_blocks(named), "blocks")
+    asked = written(_asked(blocks), "asked")
+    shared = asked.groupBy("shingle").agg(
+        F.sum("holders").alias("holders"), F.min("x").alias("x"), F.max("y").alias("y")
     )
-    shared = shared.filter("x <> y").select("shingle", "holders")
-    mine = Window.partitionBy("id", "n", "digest")
-    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "shingle"))
-    early = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-6) + 1
-    first = held.join(shared, "shingle").withColumn("place", place).filter(F.col("place") <= early)
-    known = written(first.select("id", "component", "n", "shingle", "place"), "prefixes")
+    shared = asked.select("block", "shingle").join(shared.filter("x <> y").select("shingle", "holders"), "shingle")
+    known = written(_prefix_postings(blocks, shared, percent), "prefixes")
     held_by = known.groupBy("shingle", "component").agg(F.count("*").alias("sets"))
     most = held_by.groupBy("shingle").agg(
-        F.max_by("component", F.struct("sets", "component")).alias("most"), F.count("*").alias("parts")
+        F.max_by("component", F.struct("sets", "component")).alias("most"),
+        F.sum("sets").alias("postings"),
+        F.count("*").alias("parts"),
     )
-    mixed = written(known.join(most.filter("parts > 1").drop("parts"), "shingle"), "mixed")
-    sides = [mixed.select("shingle", "most", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "component"))) for s in "xy"]
+    most = most.filter("parts > 1").drop("parts")
+    mixed = written(join_key_stats(known, most, "shingle", "postings", HOT_POSTING), "mixed")
+    sides = F.ceil(F.col("postings") / HOT_POSTING)
+    own = F.pmod(F.xxhash64("id", "n"), sides)
+    across = F.explode(F.sequence(F.lit(0).cast("long"), sides - 1))
+
+    def side(rows: DataFrame, s: str, mine: str, other: str) -> DataFrame:
+        columns = (F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "component"))
+        return rows.select("shingle", "most", *columns, own.alias(mine), across.alias(other))
+
+    left = side(mixed.filter("component <> most"), "x", "i", "j")
+    right = side(mixed, "y", "j", "i").drop("most")
     common = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    pairs = sides[0].filter("component_x <> most").join(sides[1].drop("most"), "shingle").filter(
+    pairs = left.join(right, ["shingle", "i", "j"]).filter(
         (F.col("component_x") != F.col("component_y"))
         & ((F.col("component_y") == F.col("most")) | (F.col("id_x") < F.col("id_y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
