@@ -174,9 +174,43 @@ def test_texts_of_a_repeated_key(spark):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == set(expected.items())
 
 
+def test_one_passage_in_many_texts(spark, monkeypatch):
+    """Texts that share a passage meet in blocks and grids; links between them are as by brute force."""
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_dedup, "HOT_SHINGLES", 400)
+    monkeypatch.setattr(near_dedup, "HOT_POSTING", 16)
+    rng, rows = np.random.default_rng(11), []
+    passage = [f"p{i}" for i in range(100)]
+    for g in range(120):
+        own = [f"g{g}w{i}" for i in range(int(rng.integers(8, 30)))]
+        rows.append((len(rows) * 7919 % 10007, " ".join([*passage, *own]), None, None))
+        if g % 5 == 0:
+            rows.append((len(rows) * 7919 % 10007, " ".join([*passage, *own, f"x{g}"]), None, None))
+    found = near_dedup.near_duplicates(frame(spark, rows), "doc_id", "text")
+    expected = brute.near_texts({r[0]: r[1] for r in rows}, 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("few", [0, 30, 200_000])
+def test_components_equal_plain_search(spark, monkeypatch, few):
+    """Rounds, one task, and rounds that end in one task give the same components."""
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (70, 2))]
+    links += [(i, i + 1) for i in range(100, 130)] + [(1, None), (7, 7)]
+    label = {x: x for pair in links for x in pair if x is not None and None not in pair and pair[0] != pair[1]}
+    for _ in label:
+        for a, b in links:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == sorted(label.items())
+
+
 def test_components_settle(spark, monkeypatch):
     """No bound on rounds ends the search early."""
-    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {(r.node, r.component) for r in components.components(links).collect()} == {(i, 0) for i in range(41)}
 
