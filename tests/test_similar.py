@@ -133,3 +133,39 @@ def test_no_python_and_no_cross_join(spark):
         ):
             plan = frame._jdf.queryExecution().executedPlan().toString()
             assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_classes_that_nothing_can_be_linked_with_go_no_further(spark):
+    draw = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, " ".join(f"u{i}_{j}" for j in range(150)) + " " + passage) for i in range(200)]  # no links, a shared passage
+    rows += [(1000 + i, text) for i, text in texts(draw, 60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    linked = {r[0] for r in plain_links(rows, 5, 7, 10) if r[2]}
+    with scratch_scope(spark):
+        sets = similar.written(similar.shingle_sets(df, "id", "text"), "sets")
+        names = similar.written(similar._names(sets), "names")
+        one = similar.written(similar._one_per_class(sets, names), "one")
+        left = similar.written(similar._linkable(one, similar.THRESHOLD), "left")
+        assert one.count() == names.count() == left.select("number").union(one.select("number")).distinct().count()
+        kept = {r.id for r in names.join(left, "number").join(sets.select("class", "id"), "class").select("id").collect()}
+        found = listed(similar.near_duplicates(df, "id", "text"))
+    members = Counter(frozenset(s) for _, s in plain_sets(rows, 5))
+    by_id = dict(plain_sets(rows, 5))
+    assert all(i in kept for i in linked if members[by_id[i]] <= next(r[2] for r in found if r[0] == i))
+    assert sum(i < 1000 for i in kept) <= 20  # a part of all shingles decides, so some may stay
+    assert found == sorted(plain_links(rows, 5, 7, 10), key=repr)
+
+
+def test_band_keys_are_those_of_the_shingles_and_their_minima_compiled(spark):
+    df = spark.createDataFrame(texts(random.Random(2), 80), "id long, text string").repartition(3)
+    with scratch_scope(spark):
+        sets = similar.written(similar.shingle_sets(df, "id", "text"), "sets")
+        names = similar.written(similar._names(sets), "names")
+        postings = similar._band_postings(similar._one_per_class(sets, names), 10, 3)
+        plain = names.join(sets.select("number", "shingles"), "number").select("number", F.explode(similar._band_keys(10, 3)).alias("key"))
+        assert listed(postings.select("number", "key")) == listed(plain)
+        plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "array_min" not in plan and "partial_min" in plan and "ObjectHash" not in plan and "SortAggregate" not in plan
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and not any("shingle" in line for line in exchanged)
