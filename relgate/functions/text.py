@@ -16,9 +16,12 @@ def lines_of(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Lower-cased tokens between whitespace; holds an empty one between two in a row.
 
-    A split at one plain character needs no regular expression engine.
+    A split at one plain character needs no regular expression engine, and a replacement
+    passes over texts without its character faster than a translation.
     """
-    blank = F.translate(F.lower(text), "\t\n\x0b\f\r", " " * 5)
+    blank = F.lower(text)
+    for space in "\t\n\x0b\f\r":
+        blank = F.replace(blank, F.lit(space), F.lit(" "))
     return F.split(blank, " ")
 
 
