@@ -22,7 +22,6 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,7 +34,9 @@ CHUNK_TOKENS = 1_000_000
 #: Bytes of a text that are cut into words at once.
 SEGMENT = 1 << 20
 #: Chunks whose requests, if spread evenly, would fill one part.
-CHUNKS_PER_PART = 8
+CHUNKS_PER_PART = 4
+#: Ranges of hashes whose requests are added one after the other, as their sorting takes most of a task's memory.
+RANGE_BITS = 3
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; larger ones share the last.
 BUCKETS = 32
 #: Held-out estimates are counted in steps of 1/8 of a factor of two; 60 factors at most.
@@ -72,12 +73,19 @@ def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers byte by byte of significance: the upper bytes stand together and compress to little."""
+    """Numbers byte by byte of significance: the upper bytes stand together and compress to little.
+
+    They are compressed here, so that Spark's rows, its batches and its shuffles hold no more; the
+    size they have without that comes first.
+    """
     wide = numbers.astype(numbers.dtype.newbyteorder("<"))
-    return wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes()
+    planes = wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _from_planes(planes: bytes, kind: str) -> np.ndarray:
+def _from_planes(packed: bytes | pa.Buffer, kind: str) -> np.ndarray:
+    view = memoryview(packed)
+    planes = pa.decompress(view[8:], int.from_bytes(view[:8], "little"), codec="zstd")
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
@@ -217,57 +225,72 @@ def _packed(rising: np.ndarray) -> bytes:
     return _planes(np.diff(rising, prepend=np.uint64(0)))
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
+def _unpacked(packed: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(_from_planes(packed, "<u8"), dtype=np.uint64)
 
 
+REQUEST = "chunk long, part int, hashes binary, counts binary, word binary"
+ANSWER = "chunk long, part int, wide boolean, answer binary, known long"
+
+
+def _requests(row: dict, parts: int) -> pa.RecordBatch:
+    """What a chunk asks each part: its hashes, its own counts of them, and which are words."""
+    chunk = _Chunk(row)
+    hashes, counts = chunk.asked()
+    word = np.arange(len(hashes)) >= len(chunk.pairs)
+    part, order = _order(hashes, parts)
+    asked, cuts = np.unique(part[order], return_index=True)
+    rows = [
+        (row["chunk"], int(p), _packed(hashes[o]), _planes(counts[o].astype(np.uint32)), np.packbits(word[o]).tobytes())
+        for p, o in zip(asked, np.split(order, cuts[1:]))
+    ]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "part", "hashes", "counts", "word"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _answered(group: pa.Table) -> pa.Table:
+    """The requests of one part with the sums of all of them, range by range of the hashes."""
+    bounds = np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS)
+    keys, counts = [], []
+    for packed, own, word in zip(group["hashes"], group["counts"], group["word"]):
+        hashes = _unpacked(packed.as_buffer())
+        bits = np.unpackbits(np.frombuffer(word.as_buffer(), np.uint8), count=len(hashes))
+        cuts = np.searchsorted(hashes, bounds)
+        # A pair and a word are told apart by their lowest bit.
+        keys.append(np.split((hashes & ~np.uint64(1)) | bits, cuts))
+        counts.append(np.split(_from_planes(own.as_buffer(), "<u4"), cuts))
+    answers, known = [[] for _ in keys], 0
+    for some, own in zip(zip(*keys), zip(*counts)):
+        distinct, at = np.unique(np.concatenate(some), return_inverse=True)
+        sums = np.bincount(at, np.concatenate(own), len(distinct)).astype(np.int64)
+        known += int(((sums > 0) & ((distinct & np.uint64(1)) == 1)).sum())
+        if not sums.size or not sums.max() >> 32:
+            sums = sums.astype(np.uint32)
+        for answer, a in zip(answers, np.split(sums[at], np.cumsum([len(k) for k in some])[:-1])):
+            answer.append(a)
+    whole = (np.concatenate(a) for a in answers)
+    found = [(a.dtype.itemsize == 8, _planes(a)) for a in whole]
+    return pa.table(
+        {
+            "chunk": group["chunk"],
+            "part": group["part"],
+            "wide": pa.array([wide for wide, _ in found], pa.bool_()),
+            "answer": pa.array([answer for _, answer in found], pa.binary()),
+            "known": pa.array([known] + [0] * (len(found) - 1), pa.int64()),
+        }
+    )
+
+
 def _counts(chunks: DataFrame, parts: int) -> DataFrame:
     """``chunk, part, counts``: the corpus counts of what each chunk asked, in asked order."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                chunk = _Chunk(row)
-                hashes, counts = chunk.asked()
-                word = np.arange(len(hashes)) >= len(chunk.pairs)
-                part, order = _order(hashes, parts)
-                asked, cuts = np.unique(part[order], return_index=True)
-                rows = [
-                    (row["chunk"], int(p), _packed(hashes[o]), counts[o].astype(np.uint32).tobytes(), np.packbits(word[o]).tobytes())
-                    for p, o in zip(asked, np.split(order, cuts[1:]))
-                ]
-                names = ["chunk", "part", "hashes", "counts", "word"]
-                types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names
-                )
+                yield _requests(row, parts)
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([_unpacked(h) for h in group["hashes"]])
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in group["counts"]])
-        sizes = [len(h) // 8 for h in group["hashes"]]
-        word = np.concatenate([np.unpackbits(np.frombuffer(w, np.uint8))[:n] for w, n in zip(group["word"], sizes)])
-        # A pair and a word are told apart by their lowest bit.
-        keys = (hashes & ~np.uint64(1)) | word.astype(np.uint64)
-        distinct, at = np.unique(keys, return_inverse=True)
-        sums = np.bincount(at, counts, len(distinct)).astype(np.int64)
-        known = int(((sums > 0) & ((distinct & np.uint64(1)) == 1)).sum())
-        cuts = np.cumsum(sizes)[:-1]
-        answers = [a.astype(np.uint64 if a.size and a.max() >> 32 else np.uint32) for a in np.split(sums[at], cuts)]
-        return pd.DataFrame(
-            {
-                "chunk": group["chunk"],
-                "part": group["part"],
-                "wide": [a.dtype.itemsize == 8 for a in answers],
-                "answer": [a.tobytes() for a in answers],
-                "known": [known] + [0] * (len(group) - 1),
-            }
-        )
-
-    requests = chunks.mapInArrow(ask, "chunk long, part int, hashes binary, counts binary, word binary")
-    return requests.groupBy("part").applyInPandas(
-        add, "chunk long, part int, wide boolean, answer binary, known long"
-    )
+    return chunks.mapInArrow(ask, REQUEST).groupBy("part").applyInArrow(_answered, ANSWER)
 
 
 def _joined(row: dict, parts: int) -> tuple[_Chunk, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,7 +300,7 @@ def _joined(row: dict, parts: int) -> tuple[_Chunk, np.ndarray, np.ndarray, np.n
     _, order = _order(hashes, parts)
     answers = sorted(row["answers"], key=lambda a: a["part"])
     flat = np.concatenate(
-        [np.frombuffer(a["answer"], np.uint64 if a["wide"] else np.uint32).astype(np.int64) for a in answers]
+        [_from_planes(a["answer"], "<u8" if a["wide"] else "<u4").astype(np.int64) for a in answers]
     )
     counts = np.empty(len(hashes), np.int64)
     counts[order] = flat

@@ -1,10 +1,12 @@
 """Deleted interpolation against plain counts, and texts longer than a chunk."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,65 @@ def test_words_of_a_text_in_runs(monkeypatch):
     monkeypatch.setattr(lm, "SEGMENT", 3)
     text = "Aa bbbbbb\n\nc\t\x00d   ee".encode()
     assert [w for run in lm._words(text) for w in run] == [b"aa", b"bbbbbb", b"c", b"\x00\x00d", b"ee"]
+
+
+def test_rows_between_stages_hold_codes_and_answers_compressed(spark):
+    text = " ".join(f"w{(j * j) % 211}" for j in range(20_000))
+    df = spark.createDataFrame([(0, False, text.encode())], "key long, held boolean, text binary")
+    chunks = lm.coded(df, 100_000).cache()
+    row = chunks.first()
+    assert len(row.codes) < 2 * 20_001  # four bytes a token are what the row held before
+    chunk = lm._Chunk(row.asDict())
+    answers = lm._counts(chunks, 1).collect()
+    assert sum(len(a.answer) for a in answers) < 2 * (len(chunk.pairs) + len(chunk.hashes))
+    chunks.unpersist()
+
+
+def requests(hashes, counts, words):
+    """The table of one part: one row per chunk of rising hashes, their counts and which are words."""
+    return pa.table(
+        {
+            "chunk": pa.array(range(len(hashes)), pa.int64()),
+            "part": pa.array([0] * len(hashes), pa.int32()),
+            "hashes": pa.array([lm._packed(h) for h in hashes], pa.binary()),
+            "counts": pa.array([lm._planes(c) for c in counts], pa.binary()),
+            "word": pa.array([np.packbits(w).tobytes() for w in words], pa.binary()),
+        }
+    )
+
+
+def test_sums_of_a_part_whatever_the_range_of_a_hash():
+    edges = [k * (1 << 61) + d for k in range(8) for d in (0, 1, 2, (1 << 61) - 2, (1 << 61) - 1)]
+    some = np.random.default_rng(1).integers(0, 1 << 64, 300, np.uint64)
+    pool = np.unique(np.concatenate([np.array(edges, np.uint64), some]))
+    rng = np.random.default_rng(2)
+    hashes = [np.sort(rng.choice(pool, n, replace=False)) for n in (300, 1, 170, 40)]
+    hashes.append(hashes[0][:1])  # in one range alone
+    is_word = {int(h): bool(h % np.uint64(3) == 0) for h in pool}
+    words = [np.array([is_word[int(h)] for h in hs]) for hs in hashes]
+    counts = [rng.integers(0, 3, len(h)).astype(np.uint32) for h in hashes]
+    counts[0][5], counts[2][:] = (1 << 32) - 1, (1 << 32) - 1  # sums above 32 bits
+    sums = Counter()
+    for hs, cs, ws in zip(hashes, counts, words):
+        for h, c, w in zip(hs, cs, ws):
+            sums[int(h) >> 1, bool(w)] += int(c)
+    out = lm._answered(requests(hashes, counts, words)).to_pylist()
+    assert [o["chunk"] for o in out] == list(range(5)) and any(o["wide"] for o in out)
+    for o, hs, ws in zip(out, hashes, words):
+        found = lm._from_planes(o["answer"], "<u8" if o["wide"] else "<u4").tolist()
+        assert found == [sums[int(h) >> 1, bool(w)] for h, w in zip(hs, ws)]
+    assert sum(o["known"] for o in out) == sum(n > 0 for (_, word), n in sums.items() if word)
+
+
+def test_memory_of_a_part_is_not_many_times_its_requests():
+    rng = np.random.default_rng(3)
+    hashes = [np.unique(rng.integers(0, 1 << 64, 100_000, np.uint64)) for _ in range(16)]
+    n = sum(map(len, hashes))
+    group = requests(hashes, [np.ones(len(h), np.uint32) for h in hashes], [np.zeros(len(h), bool) for h in hashes])
+    tracemalloc.start()
+    try:
+        lm._answered(group)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 45 * n  # 70 bytes an n-gram when all were sorted at once
