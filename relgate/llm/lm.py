@@ -251,33 +251,34 @@ def _requests(row: dict, parts: int) -> pa.RecordBatch:
 
 def _answered(group: pa.Table) -> pa.Table:
     """The requests of one part with the sums of all of them, range by range of the hashes."""
-    bounds = np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS)
-    keys, counts = [], []
-    for packed, own, word in zip(group["hashes"], group["counts"], group["word"]):
-        hashes = _unpacked(packed.as_buffer())
-        bits = np.unpackbits(np.frombuffer(word.as_buffer(), np.uint8), count=len(hashes))
-        cuts = np.searchsorted(hashes, bounds)
-        # A pair and a word are told apart by their lowest bit.
-        keys.append(np.split((hashes & ~np.uint64(1)) | bits, cuts))
-        counts.append(np.split(_from_planes(own.as_buffer(), "<u4"), cuts))
-    answers, known = [[] for _ in keys], 0
-    for some, own in zip(zip(*keys), zip(*counts)):
-        distinct, at = np.unique(np.concatenate(some), return_inverse=True)
-        sums = np.bincount(at, np.concatenate(own), len(distinct)).astype(np.int64)
-        known += int(((sums > 0) & ((distinct & np.uint64(1)) == 1)).sum())
-        if not sums.size or not sums.max() >> 32:
-            sums = sums.astype(np.uint32)
-        for answer, a in zip(answers, np.split(sums[at], np.cumsum([len(k) for k in some])[:-1])):
-            answer.append(a)
-    whole = (np.concatenate(a) for a in answers)
-    found = [(a.dtype.itemsize == 8, _planes(a)) for a in whole]
+    hashes = [_unpacked(h.as_buffer()) for h in group["hashes"]]
+    sizes = [len(h) for h in hashes]
+    bits = (np.frombuffer(w.as_buffer(), np.uint8) for w in group["word"])
+    word = np.concatenate([np.unpackbits(b, count=n) for b, n in zip(bits, sizes)])
+    keys = np.concatenate(hashes)
+    del hashes
+    # A pair and a word are told apart by their lowest bit.
+    keys &= ~np.uint64(1)
+    keys |= word
+    counts = np.concatenate([_from_planes(c.as_buffer(), "<u4") for c in group["counts"]])
+    span = (keys >> np.uint64(64 - RANGE_BITS)).astype(np.uint8)
+    sums, known = np.empty(len(keys), np.int64), 0
+    for k in range(1 << RANGE_BITS):
+        some = np.flatnonzero(span == k)
+        distinct, at = np.unique(keys[some], return_inverse=True)
+        added = np.bincount(at, counts[some], len(distinct)).astype(np.int64)
+        known += int(((added > 0) & ((distinct & np.uint64(1)) == 1)).sum())
+        sums[some] = added[at]
+    answers = np.split(sums, np.cumsum(sizes)[:-1])
+    wide = [bool(a.size and a.max() >> 32) for a in answers]
+    packed = [_planes(a.astype(np.uint64 if w else np.uint32)) for a, w in zip(answers, wide)]
     return pa.table(
         {
             "chunk": group["chunk"],
             "part": group["part"],
-            "wide": pa.array([wide for wide, _ in found], pa.bool_()),
-            "answer": pa.array([answer for _, answer in found], pa.binary()),
-            "known": pa.array([known] + [0] * (len(found) - 1), pa.int64()),
+            "wide": pa.array(wide, pa.bool_()),
+            "answer": pa.array(packed, pa.binary()),
+            "known": pa.array([known] + [0] * (len(sizes) - 1), pa.int64()),
         }
     )
 
