@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgate.llm import mixing, near_dedup, packing, pii, toxicity
-from relgate.llm.common import fold, read, written
+from relgate.llm.common import fold, read, small_batches, written
 from relgate.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,6 +17,7 @@ ORACLE_SQL = None
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
+    small_batches(spark)
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.fit(docs, labels, "doc_id", "text", "toxic", fold("doc_id", 5) != 0)
     return docs.select(*COLUMNS).filter(toxicity.score_column("text", model) < 0.5)
@@ -30,6 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     smallest text digest, counts by its id, the others as later than any id below 2**62.
     Documents without an id all stay.
     """
+    small_batches(spark)
     rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("place"))
     named = rows.filter("doc_id is not null")
     again = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -52,6 +54,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by the name of its kind."""
+    small_batches(spark)
     rows = docs.select(
         F.struct("doc_id", "lang", "source", "n_chars").alias("kept"), F.col("text").alias("raw")
     )
@@ -74,6 +77,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and where they stand in which sequence."""
+    small_batches(spark)
     return packing.pack(docs, "doc_id", "text", public_tokenizers.path(TOKENIZER))
 
 

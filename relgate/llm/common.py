@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,37 @@ from relgate.session import scratch_path, shuffles_removed
 
 #: The characters that part words: blank and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a table, about, that a Python worker gets at once, and rows that become Python objects at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
+
+_caches: dict[str, Any] = {}
+
+
+def worker_cache(owner: str, make: Callable[[], Any]) -> Any:
+    """What ``owner`` remembers in this Python worker; what others remembered is given up.
+
+    Workers outlive a stage, and the caches of all stages of a run would else add up.
+    """
+    if (held := _caches.get(owner)) is None:
+        _caches.clear()
+        held = _caches[owner] = make()
+    return held
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand tables to Python in batches of some ``BATCH_BYTES``, from now on.
+
+    By default a batch is 10,000 rows, which for texts is the whole of a file's split, held
+    by the JVM and by the worker at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``BATCH_ROWS``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

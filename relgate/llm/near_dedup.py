@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relgate.llm.common import written
+from relgate.llm.common import pieces, worker_cache, written
 from relgate.llm.components import components
 from relgate.operators.skew import join_key_stats
 
@@ -66,9 +66,6 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes.
 
@@ -78,7 +75,8 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     found = (text or b"").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    known = worker_cache("near_dedup", _WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     width = min(words, len(found))
     n = len(found) - width + 1
     value = np.full(n, width, np.uint64)
@@ -107,7 +105,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     """``id, n_shingles, digest, sig`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, digests, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, words)
@@ -304,7 +302,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``id, digest, shingles`` of the rows whose id is among ``ids``: all sets of an id, each once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             digests = [blake2b(f, digest_size=16).digest() if f else None for f in found]
             yield pa.RecordBatch.from_arrays(

@@ -10,7 +10,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from unicodedata import normalize
 
 import numpy as np
@@ -19,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relgate.llm.common import pieces, worker_cache
+
 CAPACITY = 2048
 #: Attention cost of a token pair against the other cost of a token: 1 / (6 x width 1024).
 QUADRATIC = 1 / 6144
@@ -77,9 +78,8 @@ class _Ids(dict):
         return ids
 
 
-@cache
 def tokenizer(path: str) -> _Ids:
-    return _Ids(path)
+    return worker_cache(f"packing {path}", lambda: _Ids(path))
 
 
 def token_bytes(text: str | None, ids: _Ids, end_id: int) -> bytes:
@@ -213,7 +213,7 @@ def pack(
             )
 
         key_type = pa.int64()
-        for batch in batches:
+        for batch in pieces(batches):
             key_type = batch.column(0).type
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = token_bytes(t, ids, end_id)

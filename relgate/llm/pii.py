@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relgate.llm.common import pieces, worker_cache
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "secret")
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -47,7 +48,6 @@ def _iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-@cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     found.add_word("@", ("at", 1))
@@ -70,7 +70,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     """
     found: list[tuple[str, int, int]] = []
     past = dict.fromkeys(KINDS, 0)  # where the search of a kind goes on
-    for last, (anchor, width) in _automaton().iter(text):
+    for last, (anchor, width) in worker_cache("pii", _automaton).iter(text):
         at = last - width + 1
         if anchor == "digit":
             if at >= past["card"]:
@@ -150,7 +150,7 @@ def find_spans(df: DataFrame, key: str, text: str, redacted: bool = False) -> Da
                 [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]
             )
         )
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1).to_pylist()
             found = [find(t) if t else [] for t in texts]
             rows = [

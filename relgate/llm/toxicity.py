@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relgate.llm.common import hashed_sample
+from relgate.llm.common import hashed_sample, worker_cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -202,6 +202,7 @@ def score_column(text: str, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
+        worker_cache("toxicity", dict)  # the model remembers words itself, as long as its task runs
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 
     return scores(F.col(text).cast("string"))
